@@ -4,7 +4,7 @@ Targets are water-filled: sources share the total by weight, none above ``max_co
 going to the others by weight. A source whose target is r times its size takes every document floor(r) times for
 certain. The rest is an unequal-probability sample: documents of source s have inclusion probability p_s = r - floor(r),
 and are ranked by random odds over inclusion odds, (u/(1-u)) / (p/(1-p)), u from a hash of the id; the sample is the
-prefix of that ranking whose words come nearest to what is left of the target. Within a source p is one number, so the
+prefix of that ranking whose words come nearest to what is left of the target (its last document may be cut there). Within a source p is one number, so the
 ranking is that of u, and the prefix ends at one value of u.
 
 That value is found without sorting a source in one task: three rounds each add up the words of 1024 equal ranges of u
@@ -56,8 +56,12 @@ def _meet(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(per_source) if few else per_source, "_sid")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_copies: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """One row for each document: id, source, size, source_size, target, copies (int) and taken = copies * size."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_copies: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, cut_last: bool = False) -> DataFrame:
+    """One row for each document: id, source, size, source_size, target, copies (int) and taken, its words in the mix.
+
+    ``cut_last``: the last document of a source's sample is cut where the target falls; else it is in whole or out,
+    whichever is nearer.
+    """
     rank = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))), 64 - BITS)
     # a null source cannot meet itself in a join: "-" stands for it, "+" precedes every other name
     sid = F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
@@ -91,14 +95,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     ties = last.groupBy("_sid", "_u").agg(F.sum("size").alias("_words"))
     run = F.sum("_words").over(Window.partitionBy("_sid").orderBy("_u"))
     ends = ties.withColumn("_run", run).join(F.broadcast(plan.select("_sid", "need", "_before")) if few else plan.select("_sid", "need", "_before"), "_sid")
-    short, over = F.col("need") - (F.col("_before") + F.col("_run") - F.col("_words")), F.col("_before") + F.col("_run") - F.col("need")
-    ends = ends.filter(over <= short).groupBy("_sid").agg(F.max("_u").alias("_end"))
-    # below the range everything is taken; in it, up to _end
-    cut = F.coalesce(F.col("_end"), F.col("_low") - 1)
-    cut = F.when(F.col("need") <= 0, F.lit(-1).cast("long")).otherwise(cut)
-    plan = stash(plan.join(F.broadcast(ends) if few else ends, "_sid", "left").withColumn("_cut", cut), "plan")
-
-    out = _meet(rows, plan.select("_sid", "source_size", "target", "whole", "_cut"), few)
-    copies = F.col("whole") + (F.col("_u") <= F.col("_cut")).cast("int")
+    short = F.col("need") - (F.col("_before") + F.col("_run") - F.col("_words"))
+    ends = ends.filter(F.col("_before") + F.col("_run") > F.col("need")).groupBy("_sid").agg(F.min(F.struct(F.col("_u").alias("u"), (short / F.col("_words")).alias("part"))).alias("_end"))
+    # whole below _end.u; there, the part of its words that is left of the target, rounded unless the last may be cut
+    part = F.col("_end.part") if cut_last else F.round("_end.part")
+    none = F.col("_end").isNull() | (F.col("need") <= 0)
+    plan = plan.join(F.broadcast(ends) if few else ends, "_sid", "left")
+    plan = stash(plan.withColumns({"_cut": F.when(none, F.lit(-1).cast("long")).otherwise(F.col("_end.u")), "_part": F.when(none, 0.0).otherwise(part)}).drop("_end"), "plan")
+
+    out = _meet(rows, plan.select("_sid", "source_size", "target", "whole", "_cut", "_part"), few)
+    more = F.when(F.col("_u") < F.col("_cut"), F.col("size")).when(F.col("_u") == F.col("_cut"), F.round(F.col("size") * F.col("_part")).cast("long")).otherwise(0)
+    copies = F.col("whole") + F.when(F.col("_u") < F.col("_cut"), 1).when(F.col("_u") == F.col("_cut"), (F.col("_part") > 0).cast("int")).otherwise(0)
     name = F.when(F.col("_sid") == "-", F.lit(None).cast("string")).otherwise(F.substring(F.col("_sid"), F.lit(2), F.length("_sid")))
-    return out.select(F.col("_id").alias(doc_id), name.alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("_id").alias(doc_id), name.alias(source), "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("whole") * F.col("size") + more).alias("taken"))

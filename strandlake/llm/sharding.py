@@ -16,7 +16,6 @@ as that. Extra columns do not matter.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.llm.differencing import difference
 from strandlake.llm.store import row_salt, stash
 
 #: Groups of one differencing, and the ratio of neighbouring size classes.
@@ -31,44 +31,6 @@ BUCKET_GROUPS = 4096
 CLASS_RATIO = 256
 
 
-def difference(sizes: np.ndarray, ways: int, anchor: np.ndarray | None = None) -> np.ndarray:
-    """Karmarkar-Karp: the part (0 to ways - 1) of each size. ``anchor``: sums that the parts already have."""
-    n = len(sizes)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
-    leaf = np.zeros((n, ways))
-    leaf[:, 0] = sizes
-    vectors: list[np.ndarray] = list(leaf)
-    made: list[tuple[int, np.ndarray, int, np.ndarray] | None] = [None] * n
-    if anchor is not None and np.ptp(anchor) > 0:
-        vectors.append(np.asarray(anchor, dtype=float) - np.min(anchor))
-        made.append(None)
-    heap = [(-float(np.ptp(v)), k) for k, v in enumerate(vectors)]
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        down, up = np.argsort(-vectors[a], kind="stable"), np.argsort(vectors[b], kind="stable")
-        sums = vectors[a][down] + vectors[b][up]
-        sums -= sums.min()
-        vectors.append(sums)
-        made.append((a, down, b, up))
-        heapq.heappush(heap, (-float(np.ptp(sums)), len(vectors) - 1))
-    place: dict[int, np.ndarray] = {len(vectors) - 1: np.arange(ways)}  # of each slot of a vector: the slot of the last one
-    for k in range(len(vectors) - 1, -1, -1):
-        if made[k] is not None:
-            a, down, b, up = made[k]
-            own = place.pop(k)
-            for child, order in ((a, down), (b, up)):
-                place[child] = np.empty(ways, dtype=np.int64)
-                place[child][order] = own
-    parts = np.array([place[k][0] for k in range(n)], dtype=np.int64)
-    if n in place:  # the anchor's slots are the shards
-        back = np.empty(ways, dtype=np.int64)
-        back[place[n]] = np.arange(ways)
-        parts = back[parts]
-    return parts
-
-
 def _assign(groups: DataFrame, shards: int, anchor: np.ndarray) -> DataFrame:
     """(key, n, bytes, bucket) with ``shard`` and ``base``, the group's first slot within (bucket, shard)."""
 
