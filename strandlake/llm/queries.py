@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, exact_dedup, mixing, packing, sharding, topk, url_filter
+from strandlake.llm import chat_format, exact_dedup, mixing, packing, sharding, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op3_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=~toxicity.held_out("_id"))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_redirect_url_filter": op1_redirect_url_filter,
         "op3_typed_chat": op3_typed_chat,
+        "op4_toxicity_viterbi": op4_toxicity_viterbi,
         "op6_norm_topk": op6_norm_topk,
         "op5_kk_packing": op5_kk_packing,
         "op8_pareto_mixing": op8_pareto_mixing,
