@@ -46,7 +46,7 @@ LOOKS = {
 }
 SEPARATORS = "._-*~'`^:/\\"
 #: Costs in nats: a look-alike, a dropped separator, other symbol or repetition, a word end between spaced letters.
-LOOK, DROP, STRAY, REPEAT, DOUBLE, BREAK = 0.7, 0.4, 1.5, 0.2, 2.0, 1.0
+LOOK, DROP, STRAY, REPEAT, DOUBLE, BREAK = 0.7, 0.4, 1.5, 0.2, 3.0, 1.0
 
 
 @lru_cache(1)
@@ -156,7 +156,7 @@ def obfuscated(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndar
     triple = total(same & np.concatenate(([False], same[:-1])))
     odd = (looks[end] > looks[begin]) | (apart[end] > apart[begin]) | (triple[end] > triple[begin])
     pick = some & odd & (end - begin >= 3) & (end - begin <= LONGEST)
-    alone = (letters[ends] - letters[starts] == 1) & (first == starts) & (trail <= 1) & (looks[ends] == looks[starts])
+    alone = (letters[ends] - letters[starts] == 1) & (first == starts) & (trail <= 1) & (hard[ends] == hard[starts])
     single = alone | ((ends - starts == 1) & look[starts])
     # letters set apart, the last with a mark at most; the NUL between texts parts them
     text_of = np.cumsum(kind == EDGE)[starts]
