@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, exact_dedup, mixing, packing, sharding, topk, toxicity, url_filter
+from strandlake.llm import chat_format, exact_dedup, mixing, ngram_join, packing, sharding, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op6_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_redirect_url_filter": op1_redirect_url_filter,
         "op3_typed_chat": op3_typed_chat,
         "op4_toxicity_viterbi": op4_toxicity_viterbi,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op6_norm_topk": op6_norm_topk,
         "op5_kk_packing": op5_kk_packing,
         "op8_pareto_mixing": op8_pareto_mixing,
