@@ -56,18 +56,16 @@ def _meet(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(per_source) if few else per_source, "_sid")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_copies: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, cut_last: bool = False) -> DataFrame:
-    """One row for each document: id, source, size, source_size, target, copies (int) and taken, its words in the mix.
-
-    ``cut_last``: the last document of a source's sample is cut where the target falls; else it is in whole or out,
-    whichever is nearer.
-    """
+def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """``docs`` with _sid, size and _u. A null source cannot meet itself in a join: "-" stands for it, "+" precedes others."""
     rank = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))), 64 - BITS)
-    # a null source cannot meet itself in a join: "-" stands for it, "+" precedes every other name
     sid = F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
-    rows = stash(docs.select(F.col(doc_id).alias("_id"), sid.alias("_sid"), word_count(text).alias("size"), rank.alias("_u")), "mixing")
+    return docs.withColumns({"_sid": sid, "_size": word_count(text), "_u": rank})
+
 
-    sizes = rows.groupBy("_sid").agg(F.sum("size").alias("source_size"))
+def _sample(rows: DataFrame, weights: tuple[float, ...], share: float, max_copies: float, cut_last: bool) -> tuple[DataFrame, bool]:
+    """One row a source: what it takes; and whether the sources are few enough to broadcast."""
+    sizes = rows.groupBy("_sid").agg(F.sum("_size").alias("source_size"))
     order = F.when(F.col("_sid") == "-", F.lit(None).cast("string")).otherwise(F.col("_sid")).asc_nulls_last()
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_at") % len(weights)).cast("int") + 1)
     per_source = stash(ordinals(sizes, order, "_at").withColumn("weight", weight), "sources")
@@ -82,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     for _ in range(ROUNDS):  # [_low, _low + width) is the range of u where the target falls, _before the words below it
         narrower = width >> STEP
         inside = _meet(rows, plan.select("_sid", "_low"), few).filter((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + F.lit(width)))
-        cells = inside.groupBy("_sid", F.floor((F.col("_u") - F.col("_low")) / narrower).alias("_cell")).agg(F.sum("size").alias("_words"))
+        cells = inside.groupBy("_sid", F.floor((F.col("_u") - F.col("_low")) / narrower).alias("_cell")).agg(F.sum("_size").alias("_words"))
         run = F.sum("_words").over(Window.partitionBy("_sid").orderBy("_cell"))
         entered = cells.withColumn("_run", run).join(F.broadcast(plan.select("_sid", "need", "_before")) if few else plan.select("_sid", "need", "_before"), "_sid")
         entered = entered.filter(F.col("_before") + F.col("_run") > F.col("need")).groupBy("_sid").agg(F.min(F.struct("_cell", (F.col("_run") - F.col("_words")).alias("_under"))).alias("_at2"))
@@ -92,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         plan, width = stash(plan.drop("_at2"), "plan"), narrower
 
     last = _meet(rows, plan.select("_sid", "_low"), few).filter((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + F.lit(width)))
-    ties = last.groupBy("_sid", "_u").agg(F.sum("size").alias("_words"))
+    ties = last.groupBy("_sid", "_u").agg(F.sum("_size").alias("_words"))
     run = F.sum("_words").over(Window.partitionBy("_sid").orderBy("_u"))
     ends = ties.withColumn("_run", run).join(F.broadcast(plan.select("_sid", "need", "_before")) if few else plan.select("_sid", "need", "_before"), "_sid")
     short = F.col("need") - (F.col("_before") + F.col("_run") - F.col("_words"))
@@ -102,9 +100,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     none = F.col("_end").isNull() | (F.col("need") <= 0)
     plan = plan.join(F.broadcast(ends) if few else ends, "_sid", "left")
     plan = stash(plan.withColumns({"_cut": F.when(none, F.lit(-1).cast("long")).otherwise(F.col("_end.u")), "_part": F.when(none, 0.0).otherwise(part)}).drop("_end"), "plan")
+    return plan.select("_sid", "source_size", "target", "whole", "_cut", "_part"), few
+
+
+def _copies() -> Column:
+    return (F.col("whole") + F.when(F.col("_u") < F.col("_cut"), 1).when(F.col("_u") == F.col("_cut"), (F.col("_part") > 0).cast("int")).otherwise(0)).cast("int")
 
-    out = _meet(rows, plan.select("_sid", "source_size", "target", "whole", "_cut", "_part"), few)
-    more = F.when(F.col("_u") < F.col("_cut"), F.col("size")).when(F.col("_u") == F.col("_cut"), F.round(F.col("size") * F.col("_part")).cast("long")).otherwise(0)
-    copies = F.col("whole") + F.when(F.col("_u") < F.col("_cut"), 1).when(F.col("_u") == F.col("_cut"), (F.col("_part") > 0).cast("int")).otherwise(0)
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_copies: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, cut_last: bool = False) -> DataFrame:
+    """One row for each document: id, source, size, source_size, target, copies (int) and taken, its words in the mix.
+
+    ``cut_last``: the last document of a source's sample is cut where the target falls; else it is in whole or out,
+    whichever is nearer.
+    """
+    keyed = _keyed(docs.select(doc_id, text, source), doc_id, text, source, seed)
+    rows = stash(keyed.select(F.col(doc_id).alias("_id"), "_sid", "_size", "_u"), "mixing")
+    plan, few = _sample(rows, weights, share, max_copies, cut_last)
+    more = F.when(F.col("_u") < F.col("_cut"), F.col("_size")).when(F.col("_u") == F.col("_cut"), F.round(F.col("_size") * F.col("_part")).cast("long")).otherwise(0)
     name = F.when(F.col("_sid") == "-", F.lit(None).cast("string")).otherwise(F.substring(F.col("_sid"), F.lit(2), F.length("_sid")))
-    return out.select(F.col("_id").alias(doc_id), name.alias(source), "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("whole") * F.col("size") + more).alias("taken"))
+    taken = F.col("whole") * F.col("_size") + more
+    return _meet(rows, plan, few).select(F.col("_id").alias(doc_id), name.alias(source), F.col("_size").alias("size"), "source_size", "target", _copies().alias("copies"), taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_copies: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, whole, with all its columns. Texts do not shuffle."""
+    keyed = _keyed(docs, doc_id, text, source, seed)
+    rows = stash(keyed.select("_sid", "_size", "_u"), "mixing")
+    plan, few = _sample(rows, weights, share, max_copies, False)
+    return _meet(keyed, plan, few).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), _copies()))).select(docs.columns)

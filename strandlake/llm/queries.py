@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat_format, exact_dedup, mixing, ngram_join, packing, sharding, topk, toxicity, url_filter
+from strandlake.llm import chat_format, exact_dedup, mixing, ngram_join, packing, secret_scan, sharding, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.sample_findings(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
+    found = secret_scan.scan(docs, model)
+    return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 6).alias("probability"), "secret")
+
+
 def op3_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
@@ -87,6 +94,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_redirect_url_filter": op1_redirect_url_filter,
+        "op2_forest_secret_scan": op2_forest_secret_scan,
         "op3_typed_chat": op3_typed_chat,
         "op4_toxicity_viterbi": op4_toxicity_viterbi,
         "op7_ngram_jaccard": op7_ngram_jaccard,
