@@ -22,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.store import stash
+
 KEY = r"A-Za-z0-9+/_\-"
 CANDIDATE = rf"(?<![{KEY}])(?=[{KEY}]*?(?:[0-9]|[a-z][A-Z]))[{KEY}]{{16,}}={{0,2}}"
 #: Words whose presence inside a candidate speaks against a random key (fixed values).
@@ -39,12 +41,12 @@ FEATURES = [
 def candidates(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """All columns of ``docs`` but the text, with ``start``, ``candidate``, ``before`` and ``after`` for each candidate."""
     body = F.coalesce(F.col(text), F.lit(""))
-    parts = lambda group: F.regexp_extract_all(body, F.lit(rf"(?s)(.*?)({CANDIDATE})"), F.lit(group))
+    parts = lambda group: F.regexp_extract_all(body, F.lit(rf"(?s)(.*?)({CANDIDATE}|\z)"), F.lit(group))  # noqa: E731  the last takes the rest, so no place is searched twice
     pairs = F.arrays_zip(parts(1).alias("gap"), parts(2).alias("token"))
     own = docs.withColumn("_body", body).filter(F.col("_body").rlike(CANDIDATE)).withColumn("_pairs", pairs)
-    # running ends of the matches; the last element is dropped to give where each gap starts
+    # where each gap starts, and the end
     ends = F.aggregate("_pairs", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p["gap"]) + F.length(p["token"]))))
-    own = own.withColumn("_ends", ends).select(*[c for c in docs.columns if c != text], "_body", "_ends", F.posexplode("_pairs").alias("_at", "_pair"))
+    own = own.withColumn("_ends", ends).select(*[c for c in docs.columns if c != text], "_body", "_ends", F.posexplode("_pairs").alias("_at", "_pair")).filter(F.col("_pair.token") != "")
     start = F.element_at("_ends", F.col("_at") + 1) + F.length("_pair.gap")
     own = own.withColumns({"start": start.cast("long"), "candidate": F.col("_pair.token"), "before": F.right(F.col("_pair.gap"), F.lit(CONTEXT))})
     after = F.substring("_body", (F.col("start") + F.length("candidate") + 1).cast("int"), F.lit(CONTEXT))
@@ -88,8 +90,9 @@ def _assembled(found: DataFrame) -> DataFrame:
 
 def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
     """A forest from labelled findings: columns text, path, start, secret; a row whose start is no candidate's is not used."""
-    found = candidates(findings.withColumnRenamed("start", "_labelled"), "text", "path").filter(F.col("start") == F.col("_labelled"))
-    rows = _assembled(found.filter(F.col("secret").isNotNull())).select("_features", F.col("secret").cast("double").alias("_secret")).coalesce(1)
+    known = stash(findings.select("text", "path", F.col("start").alias("_labelled"), "secret").dropna(subset=["secret"]), "findings")
+    found = candidates(known, "text", "path").filter(F.col("start") == F.col("_labelled"))
+    rows = stash(_assembled(found).select("_features", F.col("secret").cast("double").alias("_secret")).coalesce(1), "features")
     return RandomForestClassifier(featuresCol="_features", labelCol="_secret", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
