@@ -1,0 +1 @@
+"""Column functions: keys, strands, sequences and record rendering."""

@@ -1,0 +1 @@
+"""Whole plans, and the registry of queries."""
