@@ -84,6 +84,36 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = """
+WITH RECURSIVE rules(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')) AS tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)' AS pattern FROM pages
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')), '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)' FROM pages),
+links AS (SELECT url, CASE WHEN pattern LIKE '%href%' THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1) ELSE regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1) END AS t FROM tags),
+ends AS (SELECT regexp_extract(url, '^[^#]*') AS a, regexp_extract(CASE WHEN t LIKE '//%' THEN regexp_extract(url, '^[^:/?#]*:') || t WHEN t LIKE '/%' THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || t ELSE t END, '^[^#]*') AS b FROM links
+  WHERE contains(url, '://')),
+edges AS (SELECT a, b FROM ends WHERE contains(b, '://') AND a <> b),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+urls AS (SELECT url AS u FROM pages UNION SELECT b FROM reach),
+parsed AS (SELECT u, CASE WHEN contains(u, '://') THEN substr(u, position('://' IN u) + 3) END AS rest FROM urls),
+split AS (SELECT u, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parsed),
+ruled AS (SELECT s.u, s.host, s.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict FROM split s
+  LEFT JOIN rules r ON (s.host = split_part(r.rule, '/', 1) OR ends_with(s.host, '.' || split_part(r.rule, '/', 1))) AND starts_with(s.path, substr(r.rule, position('/' IN r.rule))) GROUP BY 1, 2, 3),
+near AS (SELECT r.a, bool_or(d.verdict = 'allow') AS allowed, bool_or(d.verdict = 'block') AS blocked FROM reach r JOIN ruled d ON d.u = r.b GROUP BY 1)
+SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule,
+  coalesce(r.verdict, CASE WHEN n.allowed THEN 'allow' WHEN n.blocked THEN 'block' ELSE 'allow' END) AS verdict, (r.verdict IS NULL AND (coalesce(n.allowed, false) OR coalesce(n.blocked, false))) AS by_alias
+FROM pages p LEFT JOIN ruled r ON r.u = p.url LEFT JOIN near n ON n.a = regexp_extract(p.url, '^[^#]*')
+"""
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, min(e) AS e FROM v GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -107,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_bloom_dedup": OP10_SQL}
+    return {"op1_redirect_url_filter": OP1_SQL, "op6_norm_topk": OP6_SQL, "op10_bloom_dedup": OP10_SQL}
