@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,9 +14,9 @@ from strandlake.sources import avro_files
 
 def has_spark_avro(spark: SparkSession) -> bool:
     try:
-        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.avro.AvroFileFormat")
+        spark.read.format("avro").schema("x int").load([])
         return True
-    except Exception:  # py4j wraps the missing class
+    except AnalysisException:
         return False
 
 
