@@ -13,7 +13,8 @@ product in the first coordinates. Queries are taken in blocks of bounded size. F
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id take no part. Missing
 components of shorter vectors count as zero. Rows with the same id count once (the least vector); a query does not find
-its own id. Ties go to the smaller id. Without queries or candidates the result is empty. Extra columns do not matter.
+its own id. Ties go to the smaller id. Scores must
+fit 64 bits. Without queries or candidates the result is empty. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_
         scores[ids[:, None] == seed_ids[None, :]] = np.iinfo(np.int64).min
         floor = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(ids), np.iinfo(np.int64).min, dtype=np.int64)
         # a vector shorter than floor / query length cannot enter; a floor of 0 or less rules nothing out
-        reach = float(np.where((floor > 0) & (lengths > 0), floor / np.maximum(lengths, 1e-300), 0.0).min()) * (1 - 1e-9)
+        able = (floor > 0) & (lengths > 0)
+        reach = float((floor[able] / lengths[able]).min()) * (1 - 1e-9) if able.all() else 0.0
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(len(ids), k, floor)
