@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
-from strandlake.llm.store import row_salt, stash
-from strandlake.llm.text import EDGE, SPACE, Hasher, char_class, chunks, code_points, mixed
+from strandlake.llm.store import batches_of, bounded_batches, row_salt, stash
+from strandlake.llm.text import EDGE, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
 
 #: Hash functions at most; members and n-grams of a block.
 HASHES, BLOCK_MEMBERS, BLOCK_GRAMS = 128, 256, 1 << 18
@@ -44,7 +44,7 @@ def bands_for(threshold: float, recall: float, hashes: int = HASHES) -> tuple[in
     """(bands, rows): the most selective rows whose bands reach the recall at the threshold within the hash budget."""
     for rows in range(16, 0, -1):
         hit = threshold**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if bands * rows <= hashes:
             return bands, rows
     raise ValueError("no banding reaches this recall within the hash budget")
@@ -127,6 +127,7 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     signed = signatures(grams, at, bands, rows) if some.any() else np.zeros((0, bands), dtype=np.uint64)
                     lists = _lists(signed.ravel(), np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(low + a, b - a), pa.array(keys, pa.binary()), pa.array(np.diff(at).astype(np.int64)), lists], names=["_id", "_set", "_grams", "_bands"])
+        give_back()
 
     return docs.mapInArrow(run, f"_id {kind}, _set binary, _grams long, _bands array<long>")
 
@@ -139,6 +140,7 @@ def _full_sets(docs: DataFrame, n: int) -> DataFrame:
                 for a, b in chunks(texts):
                     grams, at = gram_sets(texts[a:b], n)
                     yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, at), pa.binary()), _lists(grams, at)], names=["_set", "_all"])
+        give_back()
 
     return docs.mapInArrow(run, "_set binary, _all array<long>").filter(F.col("_set").isNotNull())
 
@@ -233,12 +235,14 @@ def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in counts] + [x for x, _ in edges], pa.binary()), pa.array([None] * len(counts) + [y for _, y in edges], pa.binary()), pa.array([n for _, n in counts] + [0] * len(edges), pa.int64())], names=["a", "b", "links"]
                 )
+        give_back()
 
     return blocks.mapInArrow(run, "a binary, b binary, links long")
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: id, class_id (the least id of its class) and n_links."""
+    bounded_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     signed = stash(_signed(own, n, bands, rows).withColumn("_salt", row_salt("_id")), "signed")
@@ -269,7 +273,8 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     left = pairs.join(many.select("_band", "_hash", F.col("_block").alias("_i"), "_items"), ["_band", "_hash", "_i"])
     right = many.select("_band", "_hash", F.col("_block").alias("_j"), F.col("_items").alias("_other"))
     both = left.join(right, ["_band", "_hash", "_j"]).select(F.col("_band").cast("long"), "_items", "_other", (F.col("_i") == F.col("_j")).alias("_same"))
-    found = stash(_compare(alone.unionAll(both), threshold), "found")
+    with batches_of(docs.sparkSession, 16):  # of pairs of blocks
+        found = stash(_compare(alone.unionAll(both), threshold), "found")
 
     classes = components(found.filter("b IS NOT NULL"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))

@@ -16,6 +16,7 @@ matter.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,18 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.differencing import difference
-from strandlake.llm.text import Hasher, bpe_pieces, chunks, code_points
+from strandlake.llm.store import bounded_batches
+from strandlake.llm.text import Hasher, bpe_pieces, chunks, code_points, give_back
 
 #: Pieces differenced at a time.
 GROUP_PIECES = 8192
 #: Slots of an encoder's piece table, and ids that it keeps before starting anew.
-SLOTS, POOL = 1 << 20, 6_000_000
+SLOTS, POOL = 1 << 19, 3_000_000
 
 
 class Encoder:
     """Byte-level BPE over batches, by a direct-mapped table from a piece's hash to its ids."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,7 +79,7 @@ class Encoder:
         codes, firsts = code_points(texts)
         starts, ends = bpe_pieces(codes)
         keys = self.hasher.slices(codes, starts, ends)
-        slot = (keys >> np.uint64(44)).astype(np.int64)
+        slot = (keys >> np.uint64(45)).astype(np.int64)
         at, length = self.at[slot], self.length[slot]
         missed = np.flatnonzero(self.keys[slot] != keys)
         if len(missed):
@@ -85,7 +88,7 @@ class Encoder:
             text = codes.tobytes()
             new_at, new_length = self._learn([text[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
             at[missed], length[missed] = new_at[back], new_length[back]
-            put = (new >> np.uint64(44)).astype(np.int64)
+            put = (new >> np.uint64(45)).astype(np.int64)
             self.keys[put], self.at[put], self.length[put] = new, new_at, new_length
         ends_at = np.cumsum(length, dtype=np.int64)
         total = int(ends_at[-1]) if len(ends_at) else 0
@@ -119,6 +122,7 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id l
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``tokenizer``: a file's path."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     piece = max(1, window // 4)
 
@@ -177,5 +181,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
             yield from flush()
         level(loose)
         yield from flush()
+        give_back()
 
     return docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, f"`{doc_id}` {kind}, {PIECE}")

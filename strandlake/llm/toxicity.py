@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.store import stash
-from strandlake.llm.text import EDGE, LETTER, SPACE, Hasher, char_class, chunks, code_points, mixed
+from strandlake.llm.store import bounded_batches, stash
+from strandlake.llm.text import EDGE, LETTER, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
 
 #: Labelled rows that the classifier is fitted on, for each class; features it uses; least statistic of a feature.
 TRAIN_PER_CLASS, FEATURES, LEAST_G2 = 6000, 512, 9.0
@@ -286,6 +286,7 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             for _, texts in _texts(batch, 0):
                 total += trigram_counts(texts)
+        give_back()
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
@@ -308,6 +309,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, to
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", usable: Column | None = None) -> Model:
     """``usable``: a condition on ``_id`` that labels must meet to be learned from."""
+    bounded_batches(docs.sparkSession)
     costs = language_model(docs, text)
     rows, sizes = training_rows(docs, labels, doc_id, text, toxic, F.lit(True) if usable is None else usable)
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -364,6 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a double ``name``: the score of each whole text. All columns pass through; nothing shuffles."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
 
@@ -374,6 +377,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 found = [model.score(texts[a:b]) for a, b in chunks(texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(found))], names=[*batch.schema.names, name])
+        give_back()
 
     return docs.mapInArrow(run, ", ".join([*columns, f"`{name}` double"]))
 
