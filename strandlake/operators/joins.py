@@ -16,7 +16,7 @@ from strandlake.schemas import CONTIG_READ_ALIGNMENT
 
 def _whole(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """The rows of ``df`` as one struct column, with the key columns beside it."""
-    return df.select(*keys, F.struct(*[F.col(c) for c in df.columns if c not in keys or c in ("read_id", "contig_id", "node_id")]).alias(name))
+    return df.select(*keys, F.struct(*df.columns).alias(name))
 
 
 def mapping_read_pairs(mappings: DataFrame, reads: DataFrame) -> DataFrame:
