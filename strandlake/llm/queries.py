@@ -105,6 +105,18 @@ SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.
 FROM pages p LEFT JOIN ruled r ON r.u = p.url LEFT JOIN near n ON n.a = regexp_extract(p.url, '^[^#]*')
 """
 
+OP3_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\2\\\3', 'g') AS et, regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\2\\\3', 'g') AS er FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(25 + length(et) + length(er)) AS BIGINT) AS formatted_chars,
+  CAST(sum(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'))) AS BIGINT) AS expanded_tokens
+FROM e GROUP BY conv_id
+"""
+
 OP6_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -137,4 +149,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_redirect_url_filter": OP1_SQL, "op6_norm_topk": OP6_SQL, "op10_bloom_dedup": OP10_SQL}
+    return {"op1_redirect_url_filter": OP1_SQL, "op3_typed_chat": OP3_SQL, "op6_norm_topk": OP6_SQL, "op10_bloom_dedup": OP10_SQL}
