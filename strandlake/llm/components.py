@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.store import group_lookup, row_salt, stash
+from strandlake.llm.store import group_lookup, release, row_salt, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first())
     before = mark(now)
     while before[0]:
-        now = stash(_star(_star(now, True), False), "edges")
+        last, now = now, stash(_star(_star(now, True), False), "edges")
+        release(last)
         after = mark(now)
         if after == before:
             break

@@ -39,11 +39,11 @@ def _positions(key: str, blocks: int) -> dict[str, Column]:
     }
 
 
-def repeated_filter(keys: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
-    """Bitmaps of the positions that at least two rows set, and the number of blocks that positions are taken from."""
+def repeated_filter(keys: DataFrame, key: str, rows: int, least: int = 2) -> tuple[DataFrame, int]:
+    """Bitmaps of the positions that at least ``least`` rows set, and the number of blocks that positions are taken from."""
     blocks = max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
     cells = keys.select(key).withColumns(_positions(key, blocks)).select("_block", F.explode(F.array_distinct(F.array("_bit1", "_bit2"))).alias("_bit"))
-    twice = cells.groupBy("_block", "_bit").agg(F.count("*").alias("n")).filter("n >= 2")
+    twice = cells.groupBy("_block", "_bit").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return stash(twice.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bloom"), blocks
 
 
@@ -56,6 +56,13 @@ def mark_possible(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> D
     return met.withColumn("_possible", is_set("_bit1") & is_set("_bit2")).drop("_block", "_bit1", "_bit2", "_bits")
 
 
+def may_hold(rows: DataFrame, key: str, among: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose key may be in ``among`` (one column of that name), and those where it is not."""
+    bloom, blocks = repeated_filter(among, key, among.count(), least=1)
+    marked = mark_possible(rows, key, bloom, blocks)
+    return marked.filter("_possible").drop("_possible"), marked.filter(~F.col("_possible")).drop("_possible")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each input row: id, keep_id, group_size, kept, text_sha256 (see the module for the defined cases)."""
     narrow = stash(docs.select(F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.monotonically_increasing_id().alias("_row")), "dedup")

@@ -31,13 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
-from strandlake.llm.store import batches_of, bounded_batches, row_salt, stash
+from strandlake.llm.exact_dedup import may_hold
+from strandlake.llm.store import batches_of, bounded_batches, group_lookup, release, row_salt, stash
 from strandlake.llm.text import EDGE, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
 
 #: Hash functions at most; members and n-grams of a block.
 HASHES, BLOCK_MEMBERS, BLOCK_GRAMS = 128, 256, 1 << 18
-#: Ids of representatives are broadcast up to this many (16 bytes each), else joined.
-BROADCAST_IDS = 2_000_000
 
 
 def bands_for(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
@@ -263,8 +262,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
 
     # full sets of the representatives that met anyone, from their texts
     busy = stash(met.select("_set").distinct().join(reps, "_set").select("_set", "_rep", "_copies", "_bands"), "busy")
-    ids = busy.select(F.col("_rep").alias("_id")).distinct()
-    near = own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
+    near, _ = may_hold(own, "_id", busy.select(F.col("_rep").alias("_id")))  # a few more do no harm
     sets = stash(_full_sets(near, n).join(busy.select("_set", "_copies", "_bands"), "_set").dropDuplicates(["_set"]), "sets")
     blocks = met.join(sets, "_set").groupBy("_band", "_hash", "_blocks", "_block").agg(F.collect_list(F.struct("_set", "_copies", "_bands", "_all")).alias("_items"))
     alone = blocks.filter("_blocks = 1").select(F.col("_band").cast("long"), "_items", F.lit(None).cast(blocks.schema["_items"].dataType).alias("_other"), F.lit(True).alias("_same"))
@@ -276,11 +274,13 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     with batches_of(docs.sparkSession, 16):  # of pairs of blocks
         found = stash(_compare(alone.unionAll(both), threshold), "found")
 
+    release(buckets, met, busy, sets, many)
+
     classes = components(found.filter("b IS NOT NULL"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))
     named = classes.join(reps.select(F.col("_set").alias("node"), "_rep"), "node")
-    least = named.groupBy("component").agg(F.min("_rep").alias("_class"))
-    class_of = named.join(least, "component").select(F.col("node").alias("_set"), "_class")
+    met_class = group_lookup(named.withColumn("_s", row_salt("node")), ["component"], "_s", F.min("_rep").alias("_class"))
+    class_of = met_class.select(F.col("node").alias("_set"), "_class")
     known = reps.select("_set", "_rep", "_copies", "_salts").join(links, "_set", "left").join(class_of, "_set", "left").filter("_copies > 1 OR _links IS NOT NULL")
     known = known.select("_set", F.explode("_salts").alias("_salt"), F.coalesce("_class", "_rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
     out = signed.select("_id", F.when(F.col("_id").isNotNull(), F.col("_set")).alias("_set"), "_salt").join(known, ["_set", "_salt"], "left")
@@ -291,4 +291,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how:
     """The documents that stay: of each class the one with the least id (of rows with that id all); unlinked ones all."""
     classes = join(docs, doc_id=doc_id, text=text, **how)
     gone = stash(classes.filter(F.col("class_id") != F.col(doc_id)).select(doc_id).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, doc_id, "left_anti").select(docs.columns)
+    maybe, others = may_hold(docs, doc_id, gone)
+    return others.select(docs.columns).unionAll(maybe.join(gone, doc_id, "left_anti").select(docs.columns))

@@ -41,7 +41,16 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stashed_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read any more."""
+    for table in tables:
+        where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table._stashed_at)
+        where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
