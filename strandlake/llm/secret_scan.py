@@ -31,7 +31,7 @@ DICTIONARY = "the and for that with this from have not are was you all can has w
 #: Words next to a candidate that name secrets, or name other things of the same form (fixed values).
 NAMES_SECRET = r"(?i)(api|access|auth|secret|token|passw|pwd|credential|private|bearer|key)"
 NAMES_OTHER = r"(?i)(commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|example|sample|dummy|placeholder|order|invoice|isbn|serial)"
-CONTEXT = 40
+CONTEXT, BLOCK = 40, 256
 FEATURES = [
     "length", "digits", "uppers", "symbols", "digit_letter", "case_changes", "repeats", "distinct", "hex_only", "digits_only", "uuid",
     "dictionary", "vowels", "path_test", "path_depth", "path_length", "near_secret", "near_other", "assigned", "quoted",
@@ -42,15 +42,26 @@ def candidates(docs: DataFrame, text: str = "text", path: str = "path") -> DataF
     """All columns of ``docs`` but the text, with ``start``, ``candidate``, ``before`` and ``after`` for each candidate."""
     body = F.coalesce(F.col(text), F.lit(""))
     parts = lambda group: F.regexp_extract_all(body, F.lit(rf"(?s)(.*?)({CANDIDATE}|\z)"), F.lit(group))  # noqa: E731  the last takes the rest, so no place is searched twice
-    pairs = F.arrays_zip(parts(1).alias("gap"), parts(2).alias("token"))
-    own = docs.withColumn("_body", body).filter(F.col("_body").rlike(CANDIDATE)).withColumn("_pairs", pairs)
-    # where each gap starts, and the end
-    ends = F.aggregate("_pairs", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p["gap"]) + F.length(p["token"]))))
-    own = own.withColumn("_ends", ends).select(*[c for c in docs.columns if c != text], "_body", "_ends", F.posexplode("_pairs").alias("_at", "_pair")).filter(F.col("_pair.token") != "")
-    start = F.element_at("_ends", F.col("_at") + 1) + F.length("_pair.gap")
-    own = own.withColumns({"start": start.cast("long"), "candidate": F.col("_pair.token"), "before": F.right(F.col("_pair.gap"), F.lit(CONTEXT))})
-    after = F.substring("_body", (F.col("start") + F.length("candidate") + 1).cast("int"), F.lit(CONTEXT))
-    return own.withColumn("after", after).withColumn("_path", F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")).drop("_body", "_ends", "_at", "_pair")
+    own = docs.filter(body.rlike(CANDIDATE)).withColumn("_pairs", F.arrays_zip(parts(1).alias("gap"), parts(2).alias("token")))
+    # where each gap starts: running lengths within blocks of pairs, and of whole blocks
+    size = lambda p: (F.length(p["gap"]) + F.length(p["token"])).cast("long")
+    running = lambda sizes: F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_pairs") - 1) / BLOCK).cast("int")), lambda b: running(F.transform(F.slice("_pairs", b * BLOCK + 1, BLOCK), size)))
+    own = own.withColumn("_blocks", blocks).withColumn("_ahead", running(F.transform("_blocks", lambda x: F.element_at(x, -1))))
+    starts = F.flatten(F.zip_with("_blocks", F.slice("_ahead", F.lit(1), F.size("_blocks")), lambda x, n: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda v: v + n)))
+
+    def found(p: Column, then: Column) -> Column:
+        """A finding beside as much of its surroundings as is kept, so that rows stay narrow; ``then``: the next pair."""
+        start = p["start"] + F.length(p["pair"]["gap"])
+        after = F.coalesce(F.concat(F.left(then["gap"], F.lit(CONTEXT)), then["token"]), F.lit(""))
+        return F.struct(start.alias("start"), p["pair"]["token"].alias("candidate"), F.right(p["pair"]["gap"], F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
+
+    placed = F.zip_with("_pairs", starts, lambda p, s: F.struct(p.alias("pair"), s.alias("start")))
+    all_found = F.zip_with(placed, F.slice("_pairs", F.lit(2), F.size("_pairs")), found)
+    each = own.withColumn("_found", F.filter(all_found, lambda f: f["candidate"] != ""))
+    # explode would infer a filter on the findings and so search each text twice
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
+    return each.select(*[c for c in docs.columns if c != text], where.alias("_path"), F.explode_outer("_found").alias("_f")).filter("_f IS NOT NULL").select("*", "_f.*").drop("_f")
 
 
 def described(found: DataFrame) -> DataFrame:
