@@ -38,9 +38,9 @@ def _assign(groups: DataFrame, shards: int, anchor: np.ndarray) -> DataFrame:
         pdf = pdf.sort_values(["bytes", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         pdf["shard"] = difference(pdf["bytes"].to_numpy(dtype=float), shards, anchor).astype("int32")
         pdf["base"] = pdf.groupby("shard")["n"].cumsum() - pdf["n"]
-        return pdf[["key", "n", "bucket", "shard", "base"]]
+        return pdf[["key", "n", "bytes", "bucket", "shard", "base"]]
 
-    return groups.groupBy("bucket").applyInPandas(one, "key binary, n long, bucket long, shard int, base long")
+    return groups.groupBy("bucket").applyInPandas(one, "key binary, n long, bytes long, bucket long, shard int, base long")
 
 
 def _classes(total: int, shards: int) -> Iterator[tuple[float, float]]:
@@ -73,7 +73,7 @@ def place(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
         own = own.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
         placed = stash(_assign(own, shards, anchor / buckets).withColumn("class", F.lit(at)), "placed")
         done.append(placed)
-        sums = placed.join(groups.select("key", "bytes"), "key").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()
+        sums = placed.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()
         for r in sums:  # one row a shard
             anchor[r["shard"]] += r["b"]
     if not done:
