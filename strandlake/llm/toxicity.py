@@ -3,7 +3,7 @@
 1. A character trigram model is counted over the words of all documents.
 2. Obfuscated tokens (letters mixed with digits or symbols, letters set apart by dots or spaces, letters repeated) are
    read as lattices: each character may stand for the letters it looks like, separators and repetitions may be dropped,
-   and between letters set apart by spaces a word may end. Viterbi decoding under the trigram model restores the words.
+   and a word may end between letters set apart by spaces, and at separators and other marks. Viterbi decoding under the trigram model restores the words.
 3. Features are the words of the text and the restored ones, with their beginnings, so that inflected and compounded
    forms count too. The features most typical of toxic training rows are chosen by the likelihood ratio statistic; a
    feature's value is the log of how often it occurs over how often a clean text of that length would hold it.
@@ -21,6 +21,7 @@ above ``LONGEST`` characters are no words and are not decoded. Extra columns do
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -45,6 +46,8 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c",
 }
 SEPARATORS = "._-*~'`^:/\\"
+#: Look-alikes that are punctuation as well, and so may also stand between words or beside them.
+MARKS = "!|(<+"
 #: Costs in nats: a look-alike, a dropped separator, other symbol or repetition, a word end between spaced letters.
 LOOK, DROP, STRAY, REPEAT, DOUBLE, BREAK = 0.7, 0.4, 1.5, 0.2, 3.0, 1.0
 
@@ -98,7 +101,7 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
 
 
 def decode(token: str, costs: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest words behind a token; ``spaced``: its characters stood apart, so words may end anywhere."""
+    """The likeliest words behind a token; ``spaced``: its characters stood apart, so words may end anywhere, else at marks."""
     symbol = _tables()["symbol"]
     # state: last two symbols and last letter -> (cost, text so far)
     now: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
@@ -121,12 +124,24 @@ def decode(token: str, costs: np.ndarray, spaced: bool = False) -> str:
                     offer((a, b, last), cost + extra + (REPEAT if run else DOUBLE), text)
                 if spaced and b:
                     offer((0, s, x), cost + extra + BREAK + float(costs[a, b, 0]) + float(costs[0, 0, s]), text + " " + x)
-            if c in SEPARATORS:
-                offer((a, b, last), cost + DROP, text)
-            elif not options:
-                offer((a, b, last), cost + STRAY, text)
+            drop = DROP if c in SEPARATORS else STRAY
+            if not options:
+                offer((a, b, last), cost + drop, text)
+            if b and (not options or c in MARKS):
+                offer((0, 0, ""), cost + drop + float(costs[a, b, 0]), text + " ")
+            elif c in MARKS:
+                offer((0, 0, ""), cost + drop, text)
         now = nxt
-    return min((cost + float(costs[a, b, 0]), text) for (a, b, _), (cost, text) in now.items())[1] if now else ""
+    ends = [(cost + (float(costs[a, b, 0]) if b else 0.0), text.strip()) for (a, b, _), (cost, text) in now.items()]
+    return min(ends)[1] if ends else ""
+
+
+def readings(token: str, costs: np.ndarray) -> list[str]:
+    """The likeliest words, and those of each part between marks: a mark may set letters apart or join words."""
+    parts = "".join(c if c.isalpha() or c in LOOKS else " " for c in token).split()
+    whole = decode(token, costs)
+    apart = " ".join(decode(p, costs) for p in parts) if len(parts) > 1 else whole
+    return [whole] if apart == whole else [whole, apart]
 
 
 def obfuscated(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
@@ -195,8 +210,11 @@ class Reader:
         if key not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            codes, kind, _ = _lowered([decode(token, self.costs, spaced)])
-            self.known[key] = self._features(codes, *_runs(kind == LETTER))[0].tolist()
+            found: Counter[int] = Counter()
+            for words in [decode(token, self.costs, True)] if spaced else readings(token, self.costs):
+                codes, kind, _ = _lowered([words])
+                found |= Counter(self._features(codes, *_runs(kind == LETTER))[0].tolist())
+            self.known[key] = list(found.elements())
         return self.known[key]
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

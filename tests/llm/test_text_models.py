@@ -213,6 +213,16 @@ def test_decoding(model):
     assert toxicity.decode("idiotmoron", model.costs, spaced=True) == "idiot moron"
 
 
+def test_words_joined_by_marks(model):
+    for mark in "-/,:!|":
+        assert toxicity.decode(f"hareon{mark}1d10t", model.costs) == "hareon idiot"
+        assert toxicity.decode(f"5tup1d{mark}m0r0n", model.costs) == "stupid moron"
+    clean = "hareon tistan esha reti onhare tian sthare onti hare reon"
+    joined = ["reon-1d10t/m0r0n", "hare,5tup1d,1d10t", "m0r0n:1d10t", "hare/w0rthl355/5tup1d"]
+    scores = model.score([f"{clean} {j} {clean}" for j in joined])
+    assert (scores > 0.5).all(), scores
+
+
 def brute_decode(token, costs):
     """All likeliest readings of a token of letters and look-alikes, none dropped but repetitions."""
     sym = toxicity._tables()["symbol"]
