@@ -15,7 +15,8 @@ most ``TRAIN_PER_CLASS`` labelled rows a class, by hash of the id. Scores use th
 Defined cases: a null text is empty and gets the score of a text without any feature. Rows equal in id and text get
 equal scores. Labels with null fields do not count; an id with several labels is toxic if one says so. Without labelled
 rows of both classes the score is the share of toxic ones (0 without any). An empty table gives an empty result. Tokens
-above ``LONGEST`` characters are no words and are not decoded. Extra columns do not matter.
+of any length are decoded. A token without any letter, or a spelled run without one, is a number and not decoded. Extra
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.store import bounded_batches, stash
-from strandlake.llm.text import EDGE, LETTER, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
+from strandlake.llm.text import EDGE, LETTER, OTHER, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
 
 #: Labelled rows that the classifier is fitted on, for each class; features it uses; least statistic of a feature.
 TRAIN_PER_CLASS, FEATURES, LEAST_G2 = 6000, 512, 9.0
 #: Symbols of the character model: 0 ends a word, 1 to 26 are a to z, the rest stand for all other letters.
 SYMBOLS = 48
-LONGEST = 30
+#: Characters up to which the worker remembers what a token decodes to; longer ones are decoded anew each time.
+REMEMBERED = 30
 BEGINNINGS = (4, 5, 6)
 #: What characters may stand for (fixed values, common usage).
 LOOKS = {
@@ -100,43 +103,60 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
     return (-np.log(p3)).astype(np.float32)
 
 
-def decode(token: str, costs: np.ndarray, spaced: bool = False) -> str:
+def _joined(text: tuple | None) -> tuple | None:
+    """A chain whose letters since the last joining are one string, so that long tokens take little memory."""
+    out, node = [], text
+    while node and len(node[1]) == 1:
+        node, x = node
+        out.append(x)
+    return (node, "".join(reversed(out))) if len(out) > 1 else text
+
+
+def decode(token: str, costs: np.ndarray | list, spaced: bool = False) -> str:
     """The likeliest words behind a token; ``spaced``: its characters stood apart, so words may end anywhere, else at marks."""
     symbol = _tables()["symbol"]
-    # state: last two symbols and last letter -> (cost, text so far)
-    now: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    # state: last two symbols and last letter -> (cost, text so far as a chain of the text before and a letter)
+    now: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+    none = (math.inf, None)
     for i, c in enumerate(token):
-        options = [(x, LOOK) for x in LOOKS.get(c, "")]
+        options = [(x, int(symbol[ord(x) & 0xFFFF]), LOOK) for x in LOOKS.get(c, "")]
         if not options and c.isalpha():
-            options = [(c, 0.0)]
+            options = [(c, int(symbol[ord(c) & 0xFFFF]), 0.0)]
         run = i > 0 and token[i - 1] == c and (i > 1 and token[i - 2] == c or i + 1 < len(token) and token[i + 1] == c)
-        nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
-
-        def offer(key: tuple[int, int, str], cost: float, text: str, nxt: dict = nxt) -> None:
-            if key not in nxt or cost < nxt[key][0]:
-                nxt[key] = (cost, text)
-
-        for (a, b, last), (cost, text) in now.items():
-            for x, extra in options:
-                s = int(symbol[ord(x) & 0xFFFF])
-                offer((b, s, x), cost + extra + float(costs[a, b, s]), text + x)
-                if x == last:
-                    offer((a, b, last), cost + extra + (REPEAT if run else DOUBLE), text)
+        again = REPEAT if run else DOUBLE
+        drop = DROP if c in SEPARATORS else STRAY
+        mark = not options or c in MARKS
+        nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+        for key, (cost, text) in now.items():
+            a, b, last = key
+            row = costs[a][b]
+            for x, s, extra in options:
+                other = cost + extra + float(row[s])
+                if other < nxt.get((b, s, x), none)[0]:
+                    nxt[b, s, x] = (other, (text, x))
+                if x == last and cost + extra + again < nxt.get(key, none)[0]:
+                    nxt[key] = (cost + extra + again, text)
                 if spaced and b:
-                    offer((0, s, x), cost + extra + BREAK + float(costs[a, b, 0]) + float(costs[0, 0, s]), text + " " + x)
-            drop = DROP if c in SEPARATORS else STRAY
-            if not options:
-                offer((a, b, last), cost + drop, text)
-            if b and (not options or c in MARKS):
-                offer((0, 0, ""), cost + drop + float(costs[a, b, 0]), text + " ")
-            elif c in MARKS:
-                offer((0, 0, ""), cost + drop, text)
-        now = nxt
-    ends = [(cost + (float(costs[a, b, 0]) if b else 0.0), text.strip()) for (a, b, _), (cost, text) in now.items()]
-    return min(ends)[1] if ends else ""
-
-
-def readings(token: str, costs: np.ndarray) -> list[str]:
+                    other = cost + extra + BREAK + float(row[0]) + float(costs[0][0][s])
+                    if other < nxt.get((0, s, x), none)[0]:
+                        nxt[0, s, x] = (other, ((text, " "), x))
+            if mark:
+                if not options and cost + drop < nxt.get(key, none)[0]:
+                    nxt[key] = (cost + drop, text)
+                if b or options:
+                    other = cost + drop + (float(row[0]) if b else 0.0)
+                    if other < nxt.get((0, 0, ""), none)[0]:
+                        nxt[0, 0, ""] = (other, (text, " ") if b else text)
+        now = nxt if i % 4096 != 4095 else {k: (cost, _joined(text)) for k, (cost, text) in nxt.items()}
+    best = min(((cost + (float(costs[a][b][0]) if b else 0.0), text) for (a, b, _), (cost, text) in now.items()), key=lambda e: e[0], default=(0.0, None))[1]
+    out = []
+    while best:
+        best, x = best
+        out.append(x)
+    return "".join(reversed(out)).strip()
+
+
+def readings(token: str, costs: np.ndarray | list) -> list[str]:
     """The likeliest words, and those of each part between marks: a mark may set letters apart or join words."""
     parts = "".join(c if c.isalpha() or c in LOOKS else " " for c in token).split()
     whole = decode(token, costs)
@@ -144,35 +164,41 @@ def readings(token: str, costs: np.ndarray) -> list[str]:
     return [whole] if apart == whole else [whole, apart]
 
 
-def obfuscated(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
-    """Starts and ends of tokens to decode, and (position, characters) of letters set apart by spaces."""
+def obfuscated(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str]]]:
+    """Numbers, starts and ends of tokens to decode, some with and without their ends, and (position, characters) of letters set apart by spaces."""
     t = _tables()
     low = codes & 0xFFFF
     letter = kind == LETTER
     look = t["look"][low] & ~letter & (codes < 65536)
     starts, ends = _runs((kind != SPACE) & (kind != EDGE))
     if not len(starts):
-        return starts, ends, []
+        return starts, starts, ends, []
     total = lambda mask: np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
     letters = total(letter)
     some = letters[ends] > letters[starts]
     where = np.flatnonzero(letter)
     first = np.where(some, where[np.minimum(letters[starts], max(len(where) - 1, 0))] if len(where) else starts, starts)
     last = np.where(some, where[np.maximum(letters[ends] - 1, 0)] if len(where) else starts, starts)
-    # look-alikes before the first or after the last letter count unless they are decoration: three or more, or "!"
-    hard = total(look & (codes != 33))
-    lead, trail = first - starts, ends - 1 - last
-    begin = np.where((lead <= 2) & (hard[first] - hard[starts] == lead), starts, first)
-    end = np.where((trail <= 2) & (trail > 0) & (hard[ends] - hard[last + 1] == trail), ends, last + 1)
-    looks = total(look)
+    # look-alikes before the first or after the last letter may be letters or decoration: each end is read both ways
+    hard = look & (codes != 33)
+    hards, looks = total(hard), total(look)
+    lead, trail = np.flatnonzero(letter | look), np.flatnonzero(letter | hard)
+    low_end = np.where(some, lead[np.minimum((letters + looks)[starts], len(lead) - 1)] if len(lead) else starts, starts)
+    high_end = np.where(some, trail[np.maximum((letters + hards)[ends] - 1, 0)] + 1 if len(trail) else starts, starts)
     after, before = np.concatenate((letter[1:], [False])), np.concatenate(([False], letter[:-1]))
     apart = total(t["separator"][low] & (codes < 65536) & after & before)
     same = np.concatenate(([False], codes[1:] == codes[:-1])) & letter
     triple = total(same & np.concatenate(([False], same[:-1])))
-    odd = (looks[end] > looks[begin]) | (apart[end] > apart[begin]) | (triple[end] > triple[begin])
-    pick = some & odd & (end - begin >= 3) & (end - begin <= LONGEST)
-    alone = (letters[ends] - letters[starts] == 1) & (first == starts) & (trail <= 1) & (hard[ends] == hard[starts])
-    single = alone | ((ends - starts == 1) & look[starts])
+    ways = [np.empty((0, 3), dtype=np.int64)]
+    for begin in (low_end, first):
+        for end in (high_end, last + 1):
+            odd = (looks[end] > looks[begin]) | (apart[end] > apart[begin]) | (triple[end] > triple[begin])
+            pick = some & odd & (end - begin >= 3)
+            ways.append(np.stack((np.flatnonzero(pick), begin[pick], end[pick]), axis=1))
+    spans = np.unique(np.concatenate(ways), axis=0)
+    alone = (letters[ends] - letters[starts] == 1) & (first == starts) & (ends - last <= 2) & (hards[ends] == hards[starts])
+    marked = (ends - starts == 1) | ((ends - starts == 2) & (kind[ends - 1] == OTHER) & ~hard[ends - 1])
+    single = alone | (marked & look[starts])
     # letters set apart, the last with a mark at most; the NUL between texts parts them
     text_of = np.cumsum(kind == EDGE)[starts]
     spelled = []
@@ -183,17 +209,17 @@ def obfuscated(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndar
         for p, q in zip([x, *inner], [*inner, y], strict=True):
             if q - p >= 3:
                 text = "".join(map(chr, codes[starts[p:q]].tolist()))
-                if sum(map(str.isalpha, text)) >= 2:
-                    spelled += [(int(starts[p]), text[k : k + LONGEST]) for k in range(0, max(1, len(text) - LONGEST // 2), LONGEST // 2)]
-    return begin[pick], end[pick], spelled
+                if any(map(str.isalpha, text)):
+                    spelled.append((int(starts[p]), text))
+    return spans[:, 0], spans[:, 1], spans[:, 2], spelled
 
 
 class Reader:
     """Feature hashes of texts, restored words included. Decoded tokens are remembered by the worker, up to a bound."""
 
     def __init__(self, costs: np.ndarray) -> None:
-        self.costs, self.hasher = costs, Hasher()
-        self.known: dict[tuple[str, bool], list[int]] = {}
+        self.nested, self.hasher = costs.tolist(), Hasher()
+        self.known: dict[tuple[str, bool], Counter[int]] = {}
 
     def _features(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each feature of the words [a, b), and the index of its word."""
@@ -205,17 +231,31 @@ class Reader:
             whose.append(longer)
         return np.concatenate(found), np.concatenate(whose)
 
-    def _restored(self, token: str, spaced: bool) -> list[int]:
-        key = (token, spaced)
-        if key not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found: Counter[int] = Counter()
-            for words in [decode(token, self.costs, True)] if spaced else readings(token, self.costs):
-                codes, kind, _ = _lowered([words])
-                found |= Counter(self._features(codes, *_runs(kind == LETTER))[0].tolist())
-            self.known[key] = list(found.elements())
-        return self.known[key]
+    def _counted(self, texts: list[str]) -> list[Counter[int]]:
+        codes, kind, firsts = _lowered(texts)
+        a, b = _runs(kind == LETTER)
+        hashes, word = self._features(codes, a, b)
+        out: list[Counter[int]] = [Counter() for _ in texts]
+        for k, h in zip((np.searchsorted(firsts, a, side="right") - 1)[word].tolist(), hashes.tolist(), strict=True):
+            out[k][h] += 1
+        return out
+
+    def _restored(self, keys: list[tuple[str, bool]]) -> list[Counter[int]]:
+        """Features of what each token (spaced or not) decodes to, without those that its letters have as they stand."""
+        new = [k for k in dict.fromkeys(keys) if k not in self.known]
+        read = [[" ".join(t), decode(t, self.nested, True)] if spaced else [t, *readings(t, self.nested)] for t, spaced in new]
+        counts = iter(self._counted([x for r in read for x in r]))
+        fresh: dict[tuple[str, bool], Counter[int]] = {}
+        for key, r in zip(new, read, strict=True):
+            own, found = next(counts), Counter()
+            for _ in r[1:]:
+                found |= next(counts)
+            fresh[key] = found - own
+        out = [fresh[k] if k in fresh else self.known[k] for k in keys]
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known.update((k, f) for k, f in fresh.items() if len(k[0]) <= REMEMBERED)
+        return out
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of all features, the text of each, and the number of words of each text."""
@@ -223,17 +263,21 @@ class Reader:
         a, b = _runs(kind == LETTER)
         owner = np.searchsorted(firsts, a, side="right") - 1
         hashes, word = self._features(codes, a, b)
-        begin, end, spelled = obfuscated(codes, kind)
+        number, begin, end, spelled = obfuscated(codes, kind)
         more, whose = [], []
         raw = codes.astype("<u4").tobytes()
-        for p, q in zip(begin.tolist(), end.tolist(), strict=True):
-            own = self._restored(raw[4 * p : 4 * q].decode("utf-32-le", "surrogatepass"), False)
-            more += own
-            whose += [p] * len(own)
-        for p, token in spelled:
-            own = self._restored(token, True)
-            more += own
-            whose += [p] * len(own)
+        spans = [(raw[4 * p : 4 * q].decode("utf-32-le", "surrogatepass"), False) for p, q in zip(begin.tolist(), end.tolist(), strict=True)]
+        found = self._restored(spans + [(token, True) for _, token in spelled])
+        ways = zip(number.tolist(), begin.tolist(), found[: len(spans)], strict=True)
+        for _, same in groupby(ways, key=lambda w: w[0]):  # what a token's ways to be read have in common counts once
+            own: Counter[int] = Counter()
+            for _, p, way in same:
+                own |= way
+            more += own.elements()
+            whose += [p] * own.total()
+        for (p, _), own in zip(spelled, found[len(spans) :], strict=True):
+            more += own.elements()
+            whose += [p] * own.total()
         extra = np.searchsorted(firsts, np.array(whose, dtype=np.int64), side="right") - 1
         return np.concatenate((hashes, np.array(more, dtype=np.uint64))), np.concatenate((owner[word], extra)), np.bincount(owner, minlength=len(texts))
 

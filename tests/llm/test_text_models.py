@@ -223,6 +223,28 @@ def test_words_joined_by_marks(model):
     assert (scores > 0.5).all(), scores
 
 
+def test_tokens_of_any_length_and_full_leet(model):
+    hidden = {
+        "y.o.u.s.t.u.p.i.d.w.o.r.t.h.l.e.s.s": "youstupid", "id" + "i" * 40 + "ot": "idiot", "hareontistanesharetionharetian/5tup1d": "stupid", "i " * 3 + "d i o t": "idiot",
+        "1d107": "idiot", "#1d107!!!": "idiot", "57up1d2024": "stupid", "h473": "hate", "1 d 1 0 7": "idiot", "5 7 u p 1 d!": "stupid",
+    }
+    for token, word in hidden.items():
+        assert word in model_words(model, token), token
+    clean = "hareon tistan esha reti onhare tian sthare onti hare reon"
+    scores = model.score([f"{clean} {h} {h} {clean}" for h in ("1d107", "57up1d2024", "1 d 1 0 7 and", "#1d107!!!")])
+    assert (scores > 0.5).all(), scores
+    whole = toxicity.decode("m.0" * 20_000, model.costs.tolist())
+    assert whole.replace(" ", "") == "mo" * 20_000
+
+
+def model_words(model, token):
+    codes, kind, _ = toxicity._lowered([token])
+    _, a, b, spelled = toxicity.obfuscated(codes, kind)
+    costs = model.costs.tolist()
+    spans = ["".join(map(chr, codes[p:q])) for p, q in zip(a, b, strict=True)]
+    return [w for s in spans for r in toxicity.readings(s, costs) for w in r.split()] + [w for _, s in spelled for w in toxicity.decode(s, costs, True).split()]
+
+
 def brute_decode(token, costs):
     """All likeliest readings of a token of letters and look-alikes, none dropped but repetitions."""
     sym = toxicity._tables()["symbol"]
