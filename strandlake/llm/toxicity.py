@@ -64,7 +64,7 @@ def _tables() -> dict[str, np.ndarray]:
             lower[c] = ord(x)
     symbol = np.zeros(n, dtype=np.int64)
     letters = np.flatnonzero(char_class()[:n] == LETTER)
-    symbol[letters] = 27 + (letters * 7) % (SYMBOLS - 27)
+    symbol[letters] = 27 + (letters * 8) % (SYMBOLS - 27)
     symbol[97:123] = np.arange(1, 27)
     look, separator = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     look[[ord(c) for c in LOOKS]] = True

@@ -223,6 +223,12 @@ def test_words_joined_by_marks(model):
     assert (scores > 0.5).all(), scores
 
 
+def test_other_letters_use_all_symbols():
+    symbol = toxicity._tables()["symbol"]
+    other = [ord(c) for c in "áàâäãåçéèêëíìîïñóòôöõúùûüßαβγδежз"]
+    assert len(set(symbol[other].tolist())) >= 15 and set(symbol[0x400:0x500].tolist()) == set(range(27, toxicity.SYMBOLS)) | {0}
+
+
 def test_tokens_of_any_length_and_full_leet(model):
     hidden = {
         "y.o.u.s.t.u.p.i.d.w.o.r.t.h.l.e.s.s": "youstupid", "id" + "i" * 40 + "ot": "idiot", "hareontistanesharetionharetian/5tup1d": "stupid", "i " * 3 + "d i o t": "idiot",
