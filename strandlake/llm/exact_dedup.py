@@ -1,16 +1,21 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one counts hash positions and keeps, as bitmaps, the positions that at least two rows set: a Bloom filter of the
-*possibly repeated* hashes. Pass two tests every row against it. Rows outside are unique and pass straight through;
-only the others shuffle, and they are compared by their full SHA-256.
+Pass one finds the hash positions that at least two rows set and keeps them as bitmaps: a Bloom filter of the *possibly
+repeated* hashes. Each task packs its rows' positions, eight bytes a row, into one array for each of a fixed number of
+groups of blocks, and drops what it has twice already; so a key that many rows share comes at most twice from a task,
+and as many rows shuffle as there are tasks times groups, however many documents there are.
+Pass two tests every row against the filter. Rows outside are unique and pass straight through; only the others, as
+narrow (id, hash) rows, shuffle, and they are compared by their full SHA-256.
+
+Texts never shuffle: decisions are made on narrow rows and come back as bitmaps of row places (``store.marked``).
 
 The filter is blocked: both of a row's positions lie in one 4 KiB bitmap, so that one lookup decides. It takes two bytes
-a row; up to ``BROADCAST_BYTES`` it is broadcast, beyond that rows and bitmaps meet by a shuffle on the block number, as
-narrow (id, hash) rows. The result is the same.
+a row; up to ``BROADCAST_BYTES`` it is broadcast, beyond that narrow rows and bitmaps meet by a shuffle on the block
+number. The result is the same.
 
-Defined cases: a null text counts as the empty text. Of equal texts the row with the largest id stays, a null id being
-the smallest; of rows equal in id and text one stays. An empty table gives an empty result. Column names of the input
-other than the id and the text do not matter.
+Defined cases: a null text counts as the empty text; a very long text is hashed whole. Of equal texts the row with the
+largest id stays, a null id being the smallest; of rows equal in id and text one stays. An empty table gives an empty
+result. Columns of the input may have any names and keep their values.
 """
 
 from __future__ import annotations
@@ -18,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.store import BROADCAST_BYTES, group_lookup, row_salt, stash
+from strandlake.llm.store import BITMAP_BITS, BROADCAST_BYTES, addressed, bit_is_set, fresh, group_lookup, marked, marks, own, row_salt, stash
 
-#: Bits of one bitmap, as bitmap_construct_agg makes them.
-BLOCK_BITS = 32768
 #: Filter bits for each row: about 1.4 % of the unique rows shuffle needlessly.
 BITS_PER_ROW = 16
+#: Groups of blocks that a task packs positions into; more only where a group would hold more than so many rows.
+GROUPS, GROUP_ROWS = 64, 1 << 20
 
 
 def text_key(text: str = "text") -> Column:
@@ -34,64 +39,75 @@ def _positions(key: str, blocks: int) -> dict[str, Column]:
     h = F.xxhash64(F.lit(7), key)
     return {
         "_block": F.pmod(F.xxhash64(F.lit(11), key), F.lit(blocks)),
-        "_bit1": F.pmod(h, F.lit(BLOCK_BITS)),
-        "_bit2": F.pmod(F.shiftrightunsigned(h, 32), F.lit(BLOCK_BITS)),
+        "_bit1": F.pmod(h, F.lit(BITMAP_BITS)),
+        "_bit2": F.pmod(F.shiftrightunsigned(h, 32), F.lit(BITMAP_BITS)),
     }
 
 
-def repeated_filter(keys: DataFrame, key: str, rows: int, least: int = 2) -> tuple[DataFrame, int]:
-    """Bitmaps of the positions that at least ``least`` rows set, and the number of blocks that positions are taken from."""
-    blocks = max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
-    cells = keys.select(key).withColumns(_positions(key, blocks)).select("_block", F.explode(F.array_distinct(F.array("_bit1", "_bit2"))).alias("_bit"))
-    twice = cells.groupBy("_block", "_bit").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return stash(twice.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "bloom"), blocks
+def packed_positions(keys: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
+    """(_group, _cells): what pass one shuffles, one row for each task and group; and the number of blocks.
+
+    A cell is a row's block and both its bits in one long. Cells that a task has twice or more come twice, others once.
+    """
+    blocks = max(1, -(-rows * BITS_PER_ROW // BITMAP_BITS))
+    groups = max(GROUPS, rows // GROUP_ROWS)
+    low, high = F.least("_bit1", "_bit2"), F.greatest("_bit1", "_bit2")
+    cell = F.shiftleft("_block", 30).bitwiseOR(F.shiftleft(low, 15)).bitwiseOR(high).alias("_cell")
+    flat = keys.select(key).withColumns(_positions(key, blocks)).select(F.spark_partition_id().alias("_task"), F.pmod("_block", F.lit(groups)).alias("_group"), cell)
+    packed = flat.groupBy("_task", "_group").agg(F.array_sort(F.collect_list("_cell")).alias("_cells"))
+    again = F.filter("_cells", lambda x, i: (i > 0) & (x == F.get("_cells", i - 1)))
+    return packed.select("_group", F.concat(F.array_distinct("_cells"), F.array_distinct(again)).alias("_cells")), blocks
+
+
+def repeated_filter(keys: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
+    """Bitmaps of the positions that at least two rows set, and the number of blocks that positions are taken from."""
+    packed, blocks = packed_positions(keys, key, rows)
+    cells = packed.repartition("_group").select("_group", F.explode("_cells").alias("_cell"))
+    low, high, mask = F.shiftright("_cell", 15), F.col("_cell"), F.lit(BITMAP_BITS - 1)
+    bits = F.array_distinct(F.array(low.bitwiseAND(mask), high.bitwiseAND(mask)))
+    each = cells.select("_group", F.shiftright("_cell", 30).alias("_block"), F.explode(bits).alias("_bit"))
+    twice = each.groupBy("_group", "_block", "_bit").agg(F.count("*").alias("n")).filter("n >= 2")  # by group already: no exchange
+    made = twice.groupBy("_group", "_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    return stash(made.select("_block", "_bits"), "bloom"), blocks
 
 
 def mark_possible(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """``rows`` with a boolean ``_possible``: false only where no other row has the same key."""
-    small = blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES
-    byte = lambda bit: F.conv(F.hex(F.substring(F.col("_bits"), (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = lambda bit: F.coalesce(byte(bit).bitwiseAND(F.pow(F.lit(2), F.col(bit) % 8).cast("int")) > 0, F.lit(False))
+    """Narrow ``rows`` with a boolean ``_possible``: false only where no other row has the same key."""
+    small = blocks * BITMAP_BITS // 8 <= BROADCAST_BYTES
     met = rows.withColumns(_positions(key, blocks)).join(F.broadcast(bloom) if small else bloom, "_block", "left")
-    return met.withColumn("_possible", is_set("_bit1") & is_set("_bit2")).drop("_block", "_bit1", "_bit2", "_bits")
+    possible = bit_is_set(F.col("_bits"), F.col("_bit1")) & bit_is_set(F.col("_bits"), F.col("_bit2"))
+    return met.withColumn("_possible", possible).drop("_block", "_bit1", "_bit2", "_bits")
 
 
-def may_hold(rows: DataFrame, key: str, among: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two parts: those whose key may be in ``among`` (one column of that name), and those where it is not."""
-    bloom, blocks = repeated_filter(among, key, among.count(), least=1)
-    marked = mark_possible(rows, key, bloom, blocks)
-    return marked.filter("_possible").drop("_possible"), marked.filter(~F.col("_possible")).drop("_possible")
+def _judged(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows (_id, _key, and _file and _at, which order rows of equal ids) in two parts: the unique ones, and the others with ``_best`` (the
+    place of the row that stays) and ``_n``."""
+    bloom, blocks = repeated_filter(narrow, "_key", narrow.count())
+    tested = mark_possible(narrow, "_key", bloom, blocks)
+    maybe = tested.filter("_possible").drop("_possible").withColumn("_salt", row_salt("_file", "_at"))
+    met = group_lookup(maybe, ["_key"], "_salt", F.max(F.struct("_id", "_file", "_at")).alias("_best"), F.count("*").alias("_n"))
+    return tested.filter(~F.col("_possible")).drop("_possible"), met
+
+
+def _stays() -> Column:
+    return (F.col("_best._file") == F.col("_file")) & (F.col("_best._at") == F.col("_at"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each input row: id, keep_id, group_size, kept, text_sha256 (see the module for the defined cases)."""
-    narrow = stash(docs.select(F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.monotonically_increasing_id().alias("_row")), "dedup")
-    bloom, blocks = repeated_filter(narrow, "_key", narrow.count())
-    marked = mark_possible(narrow, "_key", bloom, blocks)
-    unique = marked.filter(~F.col("_possible")).withColumns({"_keep": F.col("_id"), "_n": F.lit(1).cast("long"), "_kept": F.lit(True)})
-    maybe = marked.filter("_possible").withColumn("_salt", row_salt("_row"))
-    met = group_lookup(maybe, ["_key"], "_salt", F.max(F.struct("_id", "_row")).alias("_best"), F.count("*").alias("_n"))
-    met = met.withColumns({"_keep": F.col("_best._id"), "_kept": F.col("_best._row") == F.col("_row")})
+    narrow = docs.select(F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    unique, met = _judged(stash(narrow, "dedup"))
+    unique = unique.withColumns({"_keep": F.col("_id"), "_n": F.lit(1).cast("long"), "_kept": F.lit(True)})
+    met = met.withColumns({"_keep": F.col("_best._id"), "_kept": _stays()})
     columns = [F.col("_id").alias(doc_id), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_kept").alias("kept"), F.lower(F.hex("_key")).alias("text_sha256")]
     return unique.select(columns).unionAll(met.select(columns))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Unique rows never shuffle."""
-    narrow = stash(docs.select(text_key(text).alias("_key")), "dedup")
-    bloom, blocks = repeated_filter(narrow, "_key", narrow.count())
-    marked = mark_possible(docs.withColumn("_key", text_key(text)), "_key", bloom, blocks)
-    unique = marked.filter(~F.col("_possible")).select(docs.columns)
-    maybe = marked.filter("_possible").withColumn("_salt", row_salt(doc_id, "_key"))
-    losers_out = group_lookup_wide(maybe, doc_id)
-    return unique.unionAll(losers_out.select(docs.columns))
-
-
-def group_lookup_wide(maybe: DataFrame, doc_id: str) -> DataFrame:
-    """The winners among wide rows: only keys and ids are aggregated; rows equal in id and text count once."""
-    best = maybe.groupBy("_key").agg(F.max(F.struct(F.col(doc_id).alias("_id"))).alias("_best"))
-    # a winner's salt follows from its id and key, so the summary needs no copies and losers meet nothing
-    best = best.withColumn(doc_id, F.col("_best._id")).withColumn("_salt", row_salt(doc_id, "_key"))
-    here, there = maybe.withColumnRenamed(doc_id, "_mine"), best.select(F.col("_key").alias("_k"), F.col(doc_id).alias("_theirs"), F.col("_salt").alias("_s"))
-    met = here.join(there, (F.col("_key") == F.col("_k")) & (F.col("_salt") == F.col("_s")) & F.col("_mine").eqNullSafe(F.col("_theirs")))
-    return met.withColumnRenamed("_mine", doc_id).dropDuplicates(["_key"])
+    """The rows of ``docs`` that stay, with all their columns. No whole row shuffles."""
+    wide, file, at = addressed(docs)
+    narrow = stash(wide.select(F.col(doc_id).alias("_id"), text_key(text).alias("_key"), F.col(file).alias("_file"), F.col(at).alias("_at")), "dedup")
+    _, met = _judged(narrow)
+    gone = marks(met.filter(~_stays()), "_file", "_at", F.lit(True))
+    (lost,) = fresh(wide, "_lost")
+    return marked(wide, file, at, gone, narrow.count(), 1, lost).filter(F.col(lost) == 0).select(*own(docs))

@@ -6,9 +6,12 @@
    similarity: with r rows, b bands miss a pair at the threshold with probability (1 - s^r)^b.
 3. Representatives shuffle on band hashes. Buckets of one are dropped, and of buckets with the same members all but the
    first band's.
-4. A bucket is split into blocks, bounded in members and n-grams, and its pairs of blocks are compared: a pair of sets in
-   the first band where it meets, exactly, by its full sets. What leaves a pair of blocks is a count of links for each
-   set and a spanning forest, so no more rows than members; pairs are never written out.
+4. A bucket that fits a block, bounded in members and n-grams, is compared there: a pair of sets in the first band where
+   it meets, exactly, by its full sets. In a larger bucket every member first meets one leader, the least set of its
+   buckets: members within half the allowed Jaccard distance of the same leader are all linked to one another, as that
+   distance is a metric; so they are counted, not compared, and a bucket of near copies of one text costs no more than
+   its members. Only pairs of blocks not proven so are compared. What leaves a comparison is a count of links for each set
+   and a spanning forest, so no more rows than members; pairs are never written out.
 5. Connected components of the forests give the classes.
 
 Every link counts: ``n_links`` is the number of other documents with similarity ``threshold`` or more, copies included,
@@ -27,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
-from strandlake.llm.exact_dedup import may_hold
-from strandlake.llm.store import batches_of, bounded_batches, group_lookup, release, row_salt, stash
+from strandlake.llm.store import addressed, batches_of, bounded_batches, fresh, group_lookup, marked, marks, own, release, row_salt, stash, with_summary
 from strandlake.llm.text import EDGE, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
 
 #: Hash functions at most; members and n-grams of a block.
@@ -125,10 +127,11 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     keys, some = set_keys(grams, at), np.diff(at) > 0
                     signed = signatures(grams, at, bands, rows) if some.any() else np.zeros((0, bands), dtype=np.uint64)
                     lists = _lists(signed.ravel(), np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low + a, b - a), pa.array(keys, pa.binary()), pa.array(np.diff(at).astype(np.int64)), lists], names=["_id", "_set", "_grams", "_bands"])
+                    whose = [batch.column(k).slice(low + a, b - a) for k in (0, 2, 3)]
+                    yield pa.RecordBatch.from_arrays([whose[0], pa.array(keys, pa.binary()), pa.array(np.diff(at).astype(np.int64)), lists, *whose[1:]], names=["_id", "_set", "_grams", "_bands", "_file", "_at"])
         give_back()
 
-    return docs.mapInArrow(run, f"_id {kind}, _set binary, _grams long, _bands array<long>")
+    return docs.mapInArrow(run, f"_id {kind}, _set binary, _grams long, _bands array<long>, _file long, _at long")
 
 
 def _full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -150,6 +153,7 @@ class _Members:
     def __init__(self, items: pa.StructArray) -> None:
         self.keys = items.field("_set").to_pylist()
         self.copies = items.field("_copies").to_numpy()
+        self.near = items.field("_near").to_numpy()
         bands, grams = items.field("_bands"), items.field("_all")
         self.bands = bands.flatten().to_numpy().reshape(len(self.keys), -1)
         self.grams, self.at = grams.flatten().to_numpy(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
@@ -186,8 +190,8 @@ def overlaps(a: _Members, b: _Members, mask: np.ndarray) -> np.ndarray:
 
 
 def linked(a: _Members, b: _Members, same: bool, band: int, threshold: float) -> np.ndarray:
-    """Pairs of sets, met first in this band, whose similarity reaches the threshold."""
-    mask = np.ones((len(a.keys), len(b.keys)), dtype=bool)
+    """Pairs of sets, met first in this band and not known to be linked, whose similarity reaches the threshold."""
+    mask = (a.near[:, None] != b.near[None, :]) | (a.near[:, None] == 0)
     if same:
         mask = np.triu(mask, 1)
     for k in range(band):
@@ -239,57 +243,106 @@ def _compare(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, "a binary, b binary, links long")
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: id, class_id (the least id of its class) and n_links."""
-    bounded_batches(docs.sparkSession)
+def _close(hot: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(_set, _home, _copies): members of large buckets and, if they are close to it, the least of the sets that lead these buckets.
+
+    Jaccard distance is a metric, so two sets within half the allowed distance of a third are linked to one another.
+    """
+    home = hot.groupBy("_set").agg(F.min("_leader").alias("_home")).withColumn("_s", row_salt("_set"))
+    leaders = home.select("_home", "_s").distinct().join(sets.select(F.col("_set").alias("_home"), F.col("_all").alias("_lead")), "_home")
+    met = home.join(sets.select("_set", "_copies", "_all"), "_set").join(leaders, ["_home", "_s"])
+    both = F.size(F.array_intersect("_all", "_lead"))
+    return met.filter(both >= (1 + threshold) / 2 * (F.size("_all") + F.size("_lead") - both)).select("_set", "_home", "_copies")
+
+
+def _close_links(close: DataFrame) -> DataFrame:
+    """(a, b, links) of the pairs of sets that are close to the same set: their counts, and an edge of each to that set."""
+    met = group_lookup(close.withColumn("_s", row_salt("_set")), ["_home"], "_s", F.sum("_copies").alias("_all"))
+    counts = met.filter("_all > _copies").select(F.col("_set").alias("a"), F.lit(None).cast("binary").alias("b"), (F.col("_all") - F.col("_copies")).alias("links"))
+    return counts.unionAll(close.filter("_set <> _home").select(F.col("_set").alias("a"), F.col("_home").alias("b"), F.lit(0).cast("long").alias("links")))
+
+
+def _classed(wide: DataFrame, file: str, at: str, doc_id: str, text: str, n: int, threshold: float, recall: float) -> DataFrame:
+    """(_id, _file, _at, _best, _links): each row with the first row of its class (null: alone) and its number of links."""
+    spark = wide.sparkSession
+    bounded_batches(spark)
     bands, rows = bands_for(threshold, recall)
-    own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    signed = stash(_signed(own, n, bands, rows).withColumn("_salt", row_salt("_id")), "signed")
+    own_texts = wide.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(file).alias("_file"), F.col(at).alias("_at"))
+    signed = stash(_signed(own_texts, n, bands, rows), "signed")
+    total = signed.count()
     some = signed.filter("_set IS NOT NULL AND _id IS NOT NULL")
-    reps = stash(some.groupBy("_set").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"), F.first("_grams").alias("_grams"), F.first("_bands").alias("_bands"), F.collect_set("_salt").alias("_salts")), "reps")
+    first = F.min(F.struct("_id", "_file", "_at")).alias("_rep")
+    reps = stash(some.groupBy("_set").agg(first, F.count("*").alias("_copies"), F.first("_grams").alias("_grams"), F.first("_bands").alias("_bands")), "reps")
 
     # buckets of two and more; of those with the same members the first band's
     member = reps.select("_set", "_grams", F.posexplode("_bands").alias("_band", "_hash"))
     mark = F.xxhash64("_set")
     buckets = member.groupBy("_band", "_hash").agg(
-        F.count("*").alias("_n"), F.sum("_grams").alias("_weight"), F.bit_xor(mark).alias("_x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("_y"), F.collect_set(row_salt("_set")).alias("_spread")
+        F.count("*").alias("_n"), F.sum("_grams").alias("_weight"), F.bit_xor(mark).alias("_x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("_y"), F.collect_set(row_salt("_set")).alias("_spread"), F.min("_set").alias("_leader")
     )
-    buckets = buckets.filter("_n >= 2").groupBy("_n", "_x", "_y").agg(F.min_by(F.struct("_band", "_hash", "_weight", "_spread"), F.struct("_band", "_hash")).alias("_b")).select("_n", "_b.*")
+    buckets = buckets.filter("_n >= 2").groupBy("_n", "_x", "_y").agg(F.min_by(F.struct("_band", "_hash", "_weight", "_spread", "_leader"), F.struct("_band", "_hash")).alias("_b")).select("_n", "_b.*")
     buckets = stash(buckets.withColumn("_blocks", F.greatest(F.ceil(F.col("_n") / BLOCK_MEMBERS), F.ceil(F.col("_weight") / BLOCK_GRAMS)).cast("int")), "buckets")
-    spread = buckets.select("_band", "_hash", "_blocks", F.explode("_spread").alias("_s"))
-    met = member.select("_set", "_band", "_hash", row_salt("_set").alias("_s")).join(spread, ["_band", "_hash", "_s"])
-    met = stash(met.select("_band", "_hash", "_blocks", "_set", F.pmod(F.xxhash64(F.lit(3), "_set"), F.col("_blocks")).cast("int").alias("_block")), "members")
-
-    # full sets of the representatives that met anyone, from their texts
-    busy = stash(met.select("_set").distinct().join(reps, "_set").select("_set", "_rep", "_copies", "_bands"), "busy")
-    near, _ = may_hold(own, "_id", busy.select(F.col("_rep").alias("_id")))  # a few more do no harm
-    sets = stash(_full_sets(near, n).join(busy.select("_set", "_copies", "_bands"), "_set").dropDuplicates(["_set"]), "sets")
-    blocks = met.join(sets, "_set").groupBy("_band", "_hash", "_blocks", "_block").agg(F.collect_list(F.struct("_set", "_copies", "_bands", "_all")).alias("_items"))
-    alone = blocks.filter("_blocks = 1").select(F.col("_band").cast("long"), "_items", F.lit(None).cast(blocks.schema["_items"].dataType).alias("_other"), F.lit(True).alias("_same"))
-    many = stash(blocks.filter("_blocks > 1"), "blocks")
-    pairs = many.select("_band", "_hash", F.col("_block").alias("_i"), "_blocks").withColumn("_j", F.explode(F.sequence(F.col("_i"), F.col("_blocks") - 1)))
+    spread = buckets.select("_band", "_hash", "_blocks", "_leader", F.explode("_spread").alias("_s"))
+    met = member.select("_set", "_grams", "_band", "_hash", row_salt("_set").alias("_s")).join(spread, ["_band", "_hash", "_s"]).drop("_s")
+    met = stash(met, "members")
+
+    # full sets of the representatives that met anyone, from their texts, which are found by place and do not shuffle
+    busy = stash(met.select("_set").distinct().join(reps, "_set").select("_set", "_rep.*", "_copies", "_bands"), "busy")
+    near = marked(own_texts, "_file", "_at", marks(busy, "_file", "_at", F.lit(True)), total, 1, "_busy").filter("_busy = 1")
+    sets = stash(_full_sets(near.select("_id", "_text"), n).join(busy.select("_set", "_copies", "_bands"), "_set"), "sets")
+
+    close = stash(_close(met.filter("_blocks > 1"), sets, threshold), "close")
+    known_links = _close_links(close)
+    members = sets.join(close.select("_set", F.xxhash64("_home").alias("_near")), "_set", "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("long")))
+    item = F.struct("_set", "_copies", "_bands", "_all", "_near")
+    alone = met.filter("_blocks = 1").select("_band", "_hash", "_set").join(members, "_set").groupBy("_band", "_hash").agg(F.collect_list(item).alias("_items"))
+    alone = alone.select(F.col("_band").cast("long"), "_items", F.lit(None).cast(alone.schema["_items"].dataType).alias("_other"), F.lit(True).alias("_same"))
+    # large buckets: blocks by what their members are close to; blocks close to the same set are not compared
+    hot = met.filter("_blocks > 1").join(close.select("_set", "_home"), "_set", "left")
+    parts = hot.groupBy("_band", "_hash", "_home").agg(F.count("*").alias("_n"), F.sum("_grams").alias("_weight"))
+    parts = parts.withColumn("_own", F.greatest(F.ceil(F.col("_n") / BLOCK_MEMBERS), F.ceil(F.col("_weight") / BLOCK_GRAMS)).cast("int"))
+    bucket = Window.partitionBy("_band", "_hash")
+    parts = parts.withColumns({"_end": F.sum("_own").over(bucket.orderBy(F.asc_nulls_first("_home"))).cast("int"), "_total": F.sum("_own").over(bucket).cast("int")})
+    parts = stash(parts.withColumn("_until", F.when(F.col("_home").isNull(), F.lit(None).cast("int")).otherwise(F.col("_end"))), "parts")
+    start = (F.col("_end") - F.col("_own")).alias("_start")
+    placed = hot.withColumn("_h", F.coalesce(F.hex("_home"), F.lit(""))).withColumn("_s", row_salt("_set"))
+    salts = placed.select("_band", "_hash", "_h", "_s").distinct()
+    spans = salts.join(parts.select("_band", "_hash", F.coalesce(F.hex("_home"), F.lit("")).alias("_h"), start, "_own", "_until", "_total"), ["_band", "_hash", "_h"])
+    placed = placed.select("_band", "_hash", "_h", "_s", "_set").join(spans, ["_band", "_hash", "_h", "_s"])
+    placed = placed.withColumn("_block", (F.col("_start") + F.pmod(F.xxhash64(F.lit(3), "_set"), F.col("_own"))).cast("int"))
+    numbers = placed.select("_band", "_hash", "_block", F.coalesce("_until", "_block").alias("_from"), "_total").distinct().filter("_from < _total")
+    pairs = stash(numbers.select("_band", "_hash", F.col("_block").alias("_i"), F.explode(F.sequence("_from", F.col("_total") - 1)).alias("_j")), "pairs")
+    used = pairs.select("_band", "_hash", F.explode(F.array("_i", "_j")).alias("_block")).distinct()
+    many = placed.select("_band", "_hash", "_block", "_set").join(used, ["_band", "_hash", "_block"]).join(members, "_set")
+    many = stash(many.groupBy("_band", "_hash", "_block").agg(F.collect_list(item).alias("_items")), "blocks")
     left = pairs.join(many.select("_band", "_hash", F.col("_block").alias("_i"), "_items"), ["_band", "_hash", "_i"])
     right = many.select("_band", "_hash", F.col("_block").alias("_j"), F.col("_items").alias("_other"))
     both = left.join(right, ["_band", "_hash", "_j"]).select(F.col("_band").cast("long"), "_items", "_other", (F.col("_i") == F.col("_j")).alias("_same"))
-    with batches_of(docs.sparkSession, 16):  # of pairs of blocks
-        found = stash(_compare(alone.unionAll(both), threshold), "found")
-
-    release(buckets, met, busy, sets, many)
+    with batches_of(spark, 16):  # of pairs of blocks
+        found = stash(_compare(alone.unionAll(both), threshold).unionAll(known_links), "found")
+    release(buckets, met, busy, sets, close, parts, pairs, many)
 
     classes = components(found.filter("b IS NOT NULL"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))
     named = classes.join(reps.select(F.col("_set").alias("node"), "_rep"), "node")
     met_class = group_lookup(named.withColumn("_s", row_salt("node")), ["component"], "_s", F.min("_rep").alias("_class"))
     class_of = met_class.select(F.col("node").alias("_set"), "_class")
-    known = reps.select("_set", "_rep", "_copies", "_salts").join(links, "_set", "left").join(class_of, "_set", "left").filter("_copies > 1 OR _links IS NOT NULL")
-    known = known.select("_set", F.explode("_salts").alias("_salt"), F.coalesce("_class", "_rep").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
-    out = signed.select("_id", F.when(F.col("_id").isNotNull(), F.col("_set")).alias("_set"), "_salt").join(known, ["_set", "_salt"], "left")
-    return out.select(F.col("_id").alias(doc_id), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
-    """The documents that stay: of each class the one with the least id (of rows with that id all); unlinked ones all."""
-    classes = join(docs, doc_id=doc_id, text=text, **how)
-    gone = stash(classes.filter(F.col("class_id") != F.col(doc_id)).select(doc_id).distinct(), "gone")
-    maybe, others = may_hold(docs, doc_id, gone)
-    return others.select(docs.columns).unionAll(maybe.join(gone, doc_id, "left_anti").select(docs.columns))
+    known = reps.select("_set", "_rep", "_copies").join(links, "_set", "left").join(class_of, "_set", "left").filter("_copies > 1 OR _links IS NOT NULL")
+    known = known.select("_set", F.coalesce("_class", "_rep").alias("_best"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_copies")
+    each = signed.select("_id", F.when(F.col("_id").isNotNull(), F.col("_set")).alias("_set"), "_file", "_at")
+    return with_summary(each, "_set", stash(known, "known"), "_copies", total).select("_id", "_file", "_at", "_best", "_links")
+
+
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: id, class_id (the least id of its class) and n_links."""
+    out = _classed(*addressed(docs.select(doc_id, text)), doc_id, text, n, threshold, recall)
+    return out.select(F.col("_id").alias(doc_id), F.coalesce("_best._id", "_id").alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: of each class one of those with the least id; unlinked ones all. No whole row shuffles."""
+    wide, file, at = addressed(docs)
+    rows = stash(_classed(wide, file, at, doc_id, text, n, threshold, recall), "classes")
+    gone = rows.filter("_best IS NOT NULL AND (_best._file <> _file OR _best._at <> _at)")
+    (lost,) = fresh(wide, "_lost")
+    return marked(wide, file, at, marks(gone, "_file", "_at", F.lit(True)), rows.count(), 1, lost).filter(F.col(lost) == 0).select(*own(docs))

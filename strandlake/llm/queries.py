@@ -118,11 +118,10 @@ FROM e GROUP BY conv_id
 """
 
 OP6_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+WITH u AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS own, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-u AS (SELECT vec_id, min(e) AS e FROM v GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, q.own, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score FROM u q JOIN u c ON q.own <> c.own WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
@@ -133,6 +132,38 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], chr(10))) WHEN len(t) > 0 THEN [array_to_string(t, chr(10))] ELSE [] END) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE both_have >= 0.8 * (x.n + y.n - both_have) - 1e-9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links FROM documents d
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    (CAST('0x' || substr(sha256('0:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM d GROUP BY source),
+f AS (SELECT *, source_size::DOUBLE * 2.0 AS cap, sum(source_size) OVER ()::DOUBLE * 1.5 AS total, row_number() OVER (ORDER BY source_size::DOUBLE * 2.0 / weight, source NULLS LAST) AS k FROM s),
+l AS (SELECT *, greatest(0.0, total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+lev AS (SELECT arg_min(level, k) AS level FROM l WHERE weight * level < cap),
+t AS (SELECT l.source, source_size, least(cap, coalesce(weight * (SELECT level FROM lev), cap)) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS whole FROM t),
+need AS (SELECT *, greatest(0.0, target - whole * source_size) AS need FROM p),
+v AS (SELECT source, size, sum(count(*) * size) OVER w - count(*) * size AS above, sum(count(*) * size * size) OVER (PARTITION BY source) - sum(count(*) * size * size) OVER w + count(*) * size * size AS upto
+  FROM d WHERE size > 0 GROUP BY source, size WINDOW w AS (PARTITION BY source ORDER BY size DESC)),
+r AS (SELECT v.source, arg_max((need - above::DOUBLE) / upto::DOUBLE, size) AS rate FROM v JOIN need n ON n.source IS NOT DISTINCT FROM v.source
+  WHERE (need - above::DOUBLE) / upto::DOUBLE >= 0 AND (need - above::DOUBLE) / upto::DOUBLE * size <= 1.0 GROUP BY v.source),
+m AS (SELECT d.*, n.source_size, n.target, n.whole, n.need, least(1.0, coalesce(r.rate, 1.0) * d.size) AS chance FROM d JOIN need n ON n.source IS NOT DISTINCT FROM d.source LEFT JOIN r ON r.source IS NOT DISTINCT FROM d.source),
+z AS (SELECT *, CASE WHEN chance > 0 THEN CAST(floor(u * (1.0 - chance) / (u * (1.0 - chance) + (1.0 - u) * chance) * 4503599627370496.0) AS BIGINT) END AS z FROM m),
+x AS (SELECT *, sum(CASE WHEN z IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY z NULLS LAST) AS run, sum(size) OVER (PARTITION BY source, z) AS tied FROM z),
+c AS (SELECT *, CASE WHEN z IS NULL OR need <= 0 THEN 0.0 WHEN run <= need THEN 1.0 WHEN run - tied < need THEN (need - (run - tied)) / tied ELSE 0.0 END AS part FROM x)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(whole * size + round(size * part) AS BIGINT) AS taken, source, CAST(whole + CASE WHEN part > 0 THEN 1 ELSE 0 END AS INT) AS copies FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_redirect_url_filter": op1_redirect_url_filter,
@@ -149,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_redirect_url_filter": OP1_SQL, "op3_typed_chat": OP3_SQL, "op6_norm_topk": OP6_SQL, "op10_bloom_dedup": OP10_SQL}
+    return {"op1_redirect_url_filter": OP1_SQL, "op3_typed_chat": OP3_SQL, "op6_norm_topk": OP6_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_pareto_mixing": OP8_SQL, "op10_bloom_dedup": OP10_SQL}

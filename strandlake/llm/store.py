@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 #: Copies of a group's summary row: a group's rows are spread over as many shuffle keys at most.
 SALTS = 200
+#: A group with more than one in so many of all rows is heavy: there are fewer heavy groups than this.
+HEAVY = 10_000
+#: Bits of one bitmap, as bitmap_construct_agg makes them.
+BITMAP_BITS = 32768
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -100,3 +105,91 @@ def ordinals(df: DataFrame, order: Column, name: str) -> DataFrame:
         return numbered.withColumn(name, F.col("_local")).drop("_part", "_local")
     offsets = F.create_map(*[F.lit(x) for pair in starts for x in pair])
     return numbered.withColumn(name, (F.col("_local") + offsets[F.col("_part")]).cast("long")).drop("_part", "_local")
+
+
+def own(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of these names, or all, whatever characters the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in (names or df.columns)]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores before it as make it differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def addressed(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` with two long columns, and their names: a hash of the file that a row lies in, and its place there.
+
+    They name a row alike in every scan, on any executor. A table that is no plain scan of Parquet files is written first.
+    Two of a million files share a hash with a chance of 3e-8.
+    """
+    file, at = fresh(df, "_file", "_at")
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.child()
+    plain = plan.nodeName() == "LogicalRelation" and "_metadata" not in df.columns
+    for again in (True, False):
+        source = df if plain else stash(df, "addressed")
+        try:
+            return source.select(*own(df), F.xxhash64(source.metadataColumn("_metadata")["file_path"]).alias(file), source.metadataColumn("_metadata")["row_index"].alias(at)), file, at
+        except AnalysisException:  # files of another format
+            if not (plain and again):
+                raise
+            plain = False
+    raise AssertionError
+
+
+def marks(rows: DataFrame, file: str, at: str, *levels: Column) -> DataFrame:
+    """Bitmaps that name rows: (_f, _chunk, _marks), an array with the bitmap of the rows that meet each condition."""
+    chunk, bit = F.shiftright(at, 15), F.col(at).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    bits = [F.bitmap_construct_agg(F.when(level, bit)).alias(f"_m{k}") for k, level in enumerate(levels)]
+    made = rows.groupBy(F.col(file).alias("_f"), chunk.alias("_chunk")).agg(*bits)
+    return stash(made.select("_f", "_chunk", F.array(*[f"_m{k}" for k in range(len(levels))]).alias("_marks")), "marks")
+
+
+def bit_is_set(bits: Column, bit: Column) -> Column:
+    """Whether a bitmap has a bit; false of a null one."""
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) > 0, F.lit(False))
+
+
+def marked(wide: DataFrame, file: str, at: str, bitmaps: DataFrame, rows: int, levels: int, name: str) -> DataFrame:
+    """``wide`` with an int ``name``: how many levels mark the row. No row of ``wide`` shuffles at any size.
+
+    The bitmaps take ``levels`` bits a row. As many as fit into BROADCAST_BYTES are broadcast at a time: beyond that the
+    files are dealt into batches, each read once, with the bitmaps of its own files.
+    """
+    batches = max(1, -(-rows * levels // (8 * max(1, BROADCAST_BYTES))))
+    f, chunk, bits = fresh(wide, "_f", "_chunk", "_marks")
+    out = None
+    for k in range(batches):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(batches)) == k  # noqa: B023, E731
+        part = wide if batches == 1 else wide.filter(mine(F.col(file)))
+        few = (bitmaps if batches == 1 else bitmaps.filter(mine(F.col("_f")))).select(F.col("_f").alias(f), F.col("_chunk").alias(chunk), F.col("_marks").alias(bits))
+        met = part.join(F.broadcast(few), (F.col(file) == F.col(f)) & (F.shiftright(at, 15) == F.col(chunk)), "left")
+        hits = [bit_is_set(F.get(bits, F.lit(j)), F.col(at).bitwiseAND(F.lit(BITMAP_BITS - 1))).cast("int") for j in range(levels)]
+        met = met.withColumn(name, sum(hits[1:], hits[0])).select(*own(wide), name)
+        out = met if out is None else out.unionAll(met)
+    return out
+
+
+def with_summary(rows: DataFrame, key: str, summary: DataFrame, size: str, total: int) -> DataFrame:
+    """``rows`` left-joined to one ``summary`` row a key (null keys meet none); ``size`` is about how many rows have the key.
+
+    Heavy keys, fewer than HEAVY by definition, are broadcast; so rows of a hot key do not shuffle, and no key of the
+    shuffled rest has more than total / HEAVY rows.
+    """
+    hot = F.col(size) * F.lit(HEAVY) > F.lit(total)
+    few, rest = stash(summary.filter(hot), "heavy"), summary.filter(~hot)
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in summary.schema if f.name != key]
+    none = rows.filter(F.col(key).isNull()).select(*own(rows), *blank)
+    some = rows.filter(F.col(key).isNotNull())
+    heavy = some.join(F.broadcast(few), key).select(*own(rows), *[f.name for f in summary.schema if f.name != key])
+    light = some.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, "left").select(*own(rows), *[f.name for f in summary.schema if f.name != key])
+    return none.unionAll(heavy).unionAll(light)

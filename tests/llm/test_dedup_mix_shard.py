@@ -9,15 +9,27 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlake.llm import exact_dedup, mixing, sharding, store
+from strandlake.llm import exact_dedup, mixing, ngram_join, sharding, store
 from strandlake.llm.differencing import difference
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, _key string"
+#: Names that the operators use themselves, planted as columns of the input with a value of their own each.
+INNER = """_key _possible _block _bits _bit1 _salt _file _at _f _chunk _marks _lost _best _n _id _sid _u _z _size _p rate target source_size weight whole need
+copies taken _cut _part _times _copy _copies _metadata _row row key n shard slot bucket base _set _links _text _rep _busy class_id""".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, " + ", ".join(f"`{c}` string" for c in [*INNER, "a.b"])
+
+
+def planted(i):
+    return [f"{c} of {i}" for c in [*INNER, "a.b"]]
 
 
 def frame(spark, rows):
     """Documents (id, text, source) with extra columns whose names clash with inner ones."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 99, "x") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 99, *planted(i)) for i, t, s in rows], DOCS)
+
+
+def intact(rows):
+    """Every planted value is still beside the id it was given to."""
+    return all(list(r)[6:] == planted(r.doc_id) and r["size"] == 99 for r in rows)
 
 
 ODD = [(1, "a b", "s1"), (2, "a b", "s2"), (3, None, "s1"), (4, "", None), (None, "a b", "s1"), (5, "c", "s1"), (5, "c", "s1"), (6, "w " * 5000, "s2"), (7, " \t\n", "")]
@@ -42,6 +54,7 @@ def test_exact_dedup(spark, rows):
     kept = exact_dedup.dedup(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
     assert sorted((r.text or "") for r in kept.collect()) == sorted({t or "" for _, t, _ in rows})
+    assert intact(kept.collect())
     best = {t: i for i, _, _, last, t in expected_classes(rows) if last}
     assert all(best[hashlib.sha256((r.text or "").encode()).hexdigest()] == r.doc_id for r in kept.collect())
 
@@ -62,6 +75,57 @@ def test_filter_joined_instead_of_broadcast(spark, monkeypatch):
     assert Counter(map(tuple, exact_dedup.classes(frame(spark, rows)).collect())) == expected_classes(rows)
 
 
+def exchanges(df):
+    """What each exchange of a plan carries."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_texts_do_not_shuffle_whatever_the_bound(spark, tmp_path, monkeypatch):
+    rows = [(k, f"some text {k % 50} of a number of words", f"s{k % 3}") for k in range(80)]
+    path = str(tmp_path / "docs")
+    frame(spark, rows).repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for module in (exact_dedup, store):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    for out, expect in ((exact_dedup.dedup(docs), 50), (ngram_join.keep_one(docs), 50), (mixing.mixed(docs), None)):
+        carried = exchanges(out)
+        assert all("BroadcastExchange" in x for x in carried), carried
+        got = out.collect()
+        assert intact(got) and (expect is None or len(got) == expect)
+
+
+def test_pass_one_shuffles_as_many_rows_whatever_the_documents(spark):
+    seen = []
+    for n in (5_000, 50_000):
+        keys = spark.range(0, n, 1, 4).select(F.unhex(F.sha2((F.col("id") % (n - n // 3)).cast("string"), 256)).alias("_key"))
+        packed, _ = exact_dedup.packed_positions(keys, "_key", 50_000)
+        seen.append(packed.count())
+    assert max(seen) <= 4 * exact_dedup.GROUPS
+    one = spark.range(0, 1000, 1, 4).select(F.unhex(F.sha2(F.lit("x"), 256)).alias("_key"))  # one key: no more than twice from a task
+    packed, _ = exact_dedup.packed_positions(one, "_key", 1000)
+    assert [r["size(_cells)"] for r in packed.select(F.size("_cells")).collect()] == [2] * 4
+
+
+def test_rows_keep_their_place_in_any_scan(spark, tmp_path):
+    df = spark.range(0, 70_000, 1, 3).select("id", F.lit("x").alias("_file"))
+    df.write.parquet(str(tmp_path / "p"))
+    for source in (spark.read.parquet(str(tmp_path / "p")).filter("id >= 10"), df.filter("id >= 10").unionAll(df.limit(0))):
+        wide, file, at = store.addressed(source)
+        assert (file, at) == ("__file", "_at") and wide.select(file, at).distinct().count() == 69_990
+        bits = store.marks(wide, file, at, F.col("id") % 3 == 0, F.col("id") % 6 == 0)
+        got = store.marked(wide, file, at, bits, 69_990, 2, "times")
+        assert got.filter((F.col("id") % 3 == 0).cast("int") + (F.col("id") % 6 == 0).cast("int") != F.col("times")).count() == 0
+
+
+def test_heavy_keys_meet_their_summary(spark, monkeypatch):
+    monkeypatch.setattr(store, "HEAVY", 5)
+    rows = spark.createDataFrame([("a" if k < 60 else None if k < 70 else f"k{k}", k) for k in range(100)], "k string, v long")
+    summary = spark.createDataFrame([("a", 60, "x"), ("k80", 1, "y"), ("other", 1, "z")], "k string, n long, s string")
+    got = {r.v: r.s for r in store.with_summary(rows, "k", summary, "n", 100).collect()}
+    assert got == {k: "x" if k < 60 else "y" if k == 80 else None for k in range(100)}
+
+
 def water(sizes, weights, total, most):
     left = dict(sizes)
     target, open_ = {}, set(sizes)
@@ -97,33 +161,76 @@ def test_mixing_targets_and_takes(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(frame(spark, rows).repartition(5), cut_last=True).collect()))
 
 
-def test_mixing_is_a_ranked_sample(spark):
-    """Certain copies for all; beyond them a prefix of the ranking, as near to the target as a prefix can be."""
+def brute_rank(rows, need, seed=0):
+    """(rank, size, id, p) of a source's documents by the definition: p by size, its rate found by bisection."""
+    sizes = [len(t.split()) for _, t in rows]
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(n * min(1.0, rate * n) for n in sizes) < need else (low, rate)
+    out = []
+    for (i, _), n in zip(rows, sizes, strict=True):
+        u = (int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = min(1.0, high * n)
+        odds = 0.0 if p == 1.0 else (u / (1 - u)) / (p / (1 - p))
+        out.append((odds, n, i, p))
+    return sorted(out)
+
+
+def test_mixing_is_a_pareto_sample(spark):
+    """Certain copies for all; beyond them the prefix of odds over inclusion odds that is as near to the target as one can be."""
     rng = random.Random(5)
-    rows = [(k, "w " * rng.randrange(1, 40), "ab"[k % 2]) for k in range(400)]
+    rows = [(k, "w " * int(rng.paretovariate(1.2) * 5), "ab"[k % 2]) for k in range(400)]
     docs = frame(spark, rows)
-    rank = {r.doc_id: r._u for r in mixing._keyed(docs, "doc_id", "text", "source", 0).select("doc_id", "_u").collect()}
     got = mixing.mix(docs).collect()
     for s in "ab":
-        own = sorted((r for r in got if r.source == s), key=lambda r: rank[r.doc_id])
-        whole = int(own[0].target / own[0].source_size + 1e-12)
-        more = [r.copies - whole for r in own]
-        assert set(more) <= {0, 1} and more == sorted(more, reverse=True)
-        need, run, best = own[0].target - whole * own[0].source_size, 0, 0
-        for k, r in enumerate(own, 1):
-            if abs(run + r["size"] - need) <= abs(run - need):
+        own = {r.doc_id: r for r in got if r.source == s}
+        first = next(iter(own.values()))
+        whole = int(first.target / first.source_size + 1e-12)
+        need = first.target - whole * first.source_size
+        ranked = brute_rank([(i, t) for i, t, x in rows if x == s], need)
+        assert abs(sum(n * p for _, n, _, p in ranked) - need) < 1e-6
+        assert all(abs(own[i].chance - p) < 1e-9 for _, _, i, p in ranked) and (need == 0 or len({round(p, 9) for _, _, _, p in ranked}) > 5)
+        run, best = 0, 0
+        for k, (_, n, _, _) in enumerate(ranked, 1):
+            if abs(run + n - need) <= abs(run - need):
                 best = k
-            run += r["size"]
-        assert sum(more) == best
-    rows_out = Counter(r.doc_id for r in mixing.mixed(docs).collect())
-    assert rows_out == Counter({r.doc_id: r.copies for r in got if r.copies})
+            run += n
+        assert {i for i, r in own.items() if r.copies > whole} == {i for _, _, i, _ in ranked[:best]}
+        assert all(r.copies in (whole, whole + 1) for r in own.values())
+    out = mixing.mixed(docs).collect()
+    assert Counter(r.doc_id for r in out) == Counter({r.doc_id: r.copies for r in got if r.copies}) and intact(out)
+
+
+def test_documents_are_taken_as_often_as_their_inclusion_probability(spark):
+    """600 sources of the same sizes, other ids: 600 draws of one sample."""
+    sizes = [1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 24] * 4
+    rows = [(rep * 1000 + k, "w " * n, f"s{rep}") for rep in range(600) for k, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1.0,), share=0.3).collect()
+    taken, chance = Counter(), {}
+    for r in got:
+        taken[r["size"]] += r.copies
+        chance[r["size"]] = r.chance
+    for n, p in chance.items():
+        assert abs(taken[n] / (600 * 4) - p) < 0.05, (n, taken[n] / 2400, p)
+    assert chance[24] > 4 * chance[5]
+
+
+def test_mixing_with_many_sources_and_seeds(spark, monkeypatch):
+    rows = [(k, "w " * (k % 17), f"s{k % 40}") for k in range(400)]
+    plain = sorted(map(str, mixing.mix(frame(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(frame(spark, rows)).collect())) == plain
+    assert sorted(map(str, mixing.mix(frame(spark, rows), seed=1).collect())) != plain
 
 
 def test_mixing_odd_rows(spark):
     got = mixing.mix(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and mixing.mix(frame(spark, [])).count() == 0
     assert all(r.taken == 0 for r in mixing.mix(frame(spark, [(1, None, "a"), (2, "", "b")])).collect())
-    assert mixing.mixed(frame(spark, ODD)).columns == frame(spark, ODD).columns
+    out = mixing.mixed(frame(spark, ODD))
+    assert out.columns == frame(spark, ODD).columns and intact(out.collect())
 
 
 def plain_kk(sizes, ways):

@@ -122,7 +122,7 @@ def near_rows(seed, groups, size, words=60):
 ODD = [(1, "one two"), (2, "one two"), (3, "one  two "), (4, None), (5, ""), (6, " \n"), (None, "one two"), (7, "a b c d e f"), (7, "a b c d e f"), (8, "x " * 30000)]
 
 
-@pytest.mark.parametrize("rows", [ODD + near_rows(1, 30, 8), near_rows(2, 1, 400)])
+@pytest.mark.parametrize("rows", [ODD + near_rows(1, 30, 8), near_rows(2, 1, 400), near_rows(3, 3, 200, words=25)])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 16)  # many pairs of blocks
     got = ngram_join.join(frame(spark, rows)).collect()
@@ -143,26 +143,39 @@ def test_banding_meets_the_recall():
         ngram_join.bands_for(0.01, 0.999999)
 
 
-def brute_top(vectors, asked, k):
+def brute_top(rows, asked, k):
+    """``rows``: (id, vector), each a vector of its own."""
     out = []
-    for q in asked:
-        scores = sorted((-int(np.dot(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:k]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    for q, (i, v) in enumerate(rows):
+        if asked(i):
+            scores = sorted((-int(np.dot(v, x)), j) for c, (j, x) in enumerate(rows) if c != q)[:k]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize("block,scale", [(8192, 1024), (3, 1024), (8192, 10**8)])
 def test_topk_equals_brute_force(spark, monkeypatch, block, scale):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    for name in ("QUERY_BLOCK", "CHUNK"):
+        monkeypatch.setattr(topk, name, block)
     monkeypatch.setattr(topk, "SEEDS", 20)
     rng = np.random.default_rng(6)
     m = rng.normal(size=(300, 12)) * rng.exponential(size=(300, 1))
     m[5:20] = m[5]  # ties
-    rows = [(int(i), x.tolist()) for i, x in enumerate(m)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, [9.0] * 12), (7, m[7].tolist()), (410, [3.0, 2.0])]
-    df = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int, score int").repartition(4)
+    rows = [(int(i), x.tolist()) for i, x in enumerate(m)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 12), (403, [float("inf")] * 12), (None, [9.0] * 12), (410, [3.0, 2.0])]
+    rows += [(7, m[7].tolist()), (7, m[40].tolist()), (20, m[20].tolist()), (20, m[41].tolist())]  # ids that repeat
+    df = spark.createDataFrame([(i, v, 0, 1, "p", 2.0) for i, v in rows], "vec_id long, embedding array<double>, rank int, score int, part string, length double").repartition(4)
     got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 10 == 0, 7, scale=scale).collect()))
-    quant = {i: np.array([int(np.floor(scale * x)) for x in v] + [0] * (12 - len(v)), dtype=object) for i, v in rows if i is not None and i not in (400, 401, 402, 403)}
-    assert got == brute_top(quant, [i for i in quant if i % 10 == 0], 7)
+    quant = [(i, np.array([int(np.floor(scale * x)) for x in v] + [0] * (12 - len(v)), dtype=object)) for i, v in rows if i is not None and i not in (400, 401, 402, 403)]
+    assert got == brute_top(quant, lambda i: i % 10 == 0, 7)
+
+
+def test_topk_plan_does_not_grow_with_the_queries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(200, 4)))], "vec_id long, embedding array<double>")
+    size = lambda: len(topk.search(df, F.col("vec_id") % 2 == 0)._jdf.queryExecution().executedPlan().toString().splitlines())
+    few = size()
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    assert size() == few
 
 
 def test_topk_odd_tables(spark):
