@@ -35,10 +35,10 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def _positions(key: str, blocks: int) -> dict[str, Column]:
-    h = F.xxhash64(F.lit(7), key)
+def _positions(blocks: int, *keys: str) -> dict[str, Column]:
+    h = F.xxhash64(F.lit(7), *keys)
     return {
-        "_block": F.pmod(F.xxhash64(F.lit(11), key), F.lit(blocks)),
+        "_block": F.pmod(F.xxhash64(F.lit(11), *keys), F.lit(blocks)),
         "_bit1": F.pmod(h, F.lit(BITMAP_BITS)),
         "_bit2": F.pmod(F.shiftrightunsigned(h, 32), F.lit(BITMAP_BITS)),
     }
@@ -53,7 +53,7 @@ def packed_positions(keys: DataFrame, key: str, rows: int) -> tuple[DataFrame, i
     groups = max(GROUPS, rows // GROUP_ROWS)
     low, high = F.least("_bit1", "_bit2"), F.greatest("_bit1", "_bit2")
     cell = F.shiftleft("_block", 30).bitwiseOR(F.shiftleft(low, 15)).bitwiseOR(high).alias("_cell")
-    flat = keys.select(key).withColumns(_positions(key, blocks)).select(F.spark_partition_id().alias("_task"), F.pmod("_block", F.lit(groups)).alias("_group"), cell)
+    flat = keys.select(key).withColumns(_positions(blocks, key)).select(F.spark_partition_id().alias("_task"), F.pmod("_block", F.lit(groups)).alias("_group"), cell)
     packed = flat.groupBy("_task", "_group").agg(F.array_sort(F.collect_list("_cell")).alias("_cells"))
     again = F.filter("_cells", lambda x, i: (i > 0) & (x == F.get("_cells", i - 1)))
     return packed.select("_group", F.concat(F.array_distinct("_cells"), F.array_distinct(again)).alias("_cells")), blocks
@@ -71,10 +71,22 @@ def repeated_filter(keys: DataFrame, key: str, rows: int) -> tuple[DataFrame, in
     return stash(made.select("_block", "_bits"), "bloom"), blocks
 
 
+def may_hold(rows: DataFrame, keys: list[str], among: DataFrame, n: int) -> DataFrame:
+    """``rows`` but for those whose keys are surely not among the ``n`` of ``among``.
+
+    The filter is broadcast and never larger than BROADCAST_BYTES; where that is too little, more rows pass.
+    """
+    blocks = min(max(1, -(-n * BITS_PER_ROW // BITMAP_BITS)), max(1, BROADCAST_BYTES * 8 // BITMAP_BITS))
+    cells = among.select(keys).withColumns(_positions(blocks, *keys)).select("_block", F.explode(F.array("_bit1", "_bit2")).alias("_bit"))
+    bloom = cells.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = rows.withColumns(_positions(blocks, *keys)).join(F.broadcast(bloom), "_block")
+    return met.filter(bit_is_set(F.col("_bits"), F.col("_bit1")) & bit_is_set(F.col("_bits"), F.col("_bit2"))).select(rows.columns)
+
+
 def mark_possible(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """Narrow ``rows`` with a boolean ``_possible``: false only where no other row has the same key."""
     small = blocks * BITMAP_BITS // 8 <= BROADCAST_BYTES
-    met = rows.withColumns(_positions(key, blocks)).join(F.broadcast(bloom) if small else bloom, "_block", "left")
+    met = rows.withColumns(_positions(blocks, key)).join(F.broadcast(bloom) if small else bloom, "_block", "left")
     possible = bit_is_set(F.col("_bits"), F.col("_bit1")) & bit_is_set(F.col("_bits"), F.col("_bit2"))
     return met.withColumn("_possible", possible).drop("_block", "_bit1", "_bit2", "_bits")
 

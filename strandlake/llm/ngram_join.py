@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
+from strandlake.llm.exact_dedup import may_hold
 from strandlake.llm.store import addressed, batches_of, bounded_batches, fresh, group_lookup, marked, marks, own, release, row_salt, stash, with_summary
 from strandlake.llm.text import EDGE, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
 
@@ -134,17 +135,20 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"_id {kind}, _set binary, _grams long, _bands array<long>, _file long, _at long")
 
 
-def _full_sets(docs: DataFrame, n: int) -> DataFrame:
+def _full_sets(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(_set, _all, _bands, _hot) of (_text, _hot), whose texts have n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 512):
-                texts = batch.column(1).slice(low, 512).to_pylist()
-                for a, b in chunks(texts):
-                    grams, at = gram_sets(texts[a:b], n)
-                    yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, at), pa.binary()), _lists(grams, at)], names=["_set", "_all"])
+                found = batch.column(0).slice(low, 512).to_pylist()
+                for a, b in chunks(found):
+                    grams, at = gram_sets(found[a:b], n)
+                    signed = signatures(grams, at, bands, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, at), pa.binary()), _lists(grams, at), _lists(signed.ravel(), np.arange(b - a + 1) * bands), batch.column(1).slice(low + a, b - a)], names=["_set", "_all", "_bands", "_hot"])
         give_back()
 
-    return docs.mapInArrow(run, "_set binary, _all array<long>").filter(F.col("_set").isNotNull())
+    return texts.mapInArrow(run, "_set binary, _all array<long>, _bands array<long>, _hot boolean")
 
 
 class _Members:
@@ -191,7 +195,7 @@ def overlaps(a: _Members, b: _Members, mask: np.ndarray) -> np.ndarray:
 
 def linked(a: _Members, b: _Members, same: bool, band: int, threshold: float) -> np.ndarray:
     """Pairs of sets, met first in this band and not known to be linked, whose similarity reaches the threshold."""
-    mask = (a.near[:, None] != b.near[None, :]) | (a.near[:, None] == 0)
+    mask = ((a.near[:, None] != b.near[None, :]) | (a.near[:, None] == 0)) & (a.bands[:, band, None] == b.bands[None, :, band])
     if same:
         mask = np.triu(mask, 1)
     for k in range(band):
@@ -248,9 +252,12 @@ def _close(hot: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     Jaccard distance is a metric, so two sets within half the allowed distance of a third are linked to one another.
     """
-    home = hot.groupBy("_set").agg(F.min("_leader").alias("_home")).withColumn("_s", row_salt("_set"))
+    leader = hot.groupBy("_band", "_hash").agg(F.min("_set").alias("_leader"), F.count("*").alias("_members"))
+    led = with_summary(hot, ["_band", "_hash"], stash(leader, "leaders"), "_members", hot.count(), inner=True)
+    home = led.groupBy("_set").agg(F.min("_leader").alias("_home"), F.first("_copies").alias("_copies")).withColumn("_s", row_salt("_set"))
+    home = stash(home, "home")
     leaders = home.select("_home", "_s").distinct().join(sets.select(F.col("_set").alias("_home"), F.col("_all").alias("_lead")), "_home")
-    met = home.join(sets.select("_set", "_copies", "_all"), "_set").join(leaders, ["_home", "_s"])
+    met = home.join(sets.select("_set", "_all"), "_set").join(leaders, ["_home", "_s"])
     both = F.size(F.array_intersect("_all", "_lead"))
     return met.filter(both >= (1 + threshold) / 2 * (F.size("_all") + F.size("_lead") - both)).select("_set", "_home", "_copies")
 
@@ -275,52 +282,52 @@ def _classed(wide: DataFrame, file: str, at: str, doc_id: str, text: str, n: int
     reps = stash(some.groupBy("_set").agg(first, F.count("*").alias("_copies"), F.first("_grams").alias("_grams"), F.first("_bands").alias("_bands")), "reps")
 
     # buckets of two and more; of those with the same members the first band's
-    member = reps.select("_set", "_grams", F.posexplode("_bands").alias("_band", "_hash"))
+    member = reps.select("_set", "_grams", "_copies", "_rep._file", "_rep._at", F.posexplode("_bands").alias("_band", "_hash"))
     mark = F.xxhash64("_set")
-    buckets = member.groupBy("_band", "_hash").agg(
-        F.count("*").alias("_n"), F.sum("_grams").alias("_weight"), F.bit_xor(mark).alias("_x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("_y"), F.collect_set(row_salt("_set")).alias("_spread"), F.min("_set").alias("_leader")
-    )
-    buckets = buckets.filter("_n >= 2").groupBy("_n", "_x", "_y").agg(F.min_by(F.struct("_band", "_hash", "_weight", "_spread", "_leader"), F.struct("_band", "_hash")).alias("_b")).select("_n", "_b.*")
-    buckets = stash(buckets.withColumn("_blocks", F.greatest(F.ceil(F.col("_n") / BLOCK_MEMBERS), F.ceil(F.col("_weight") / BLOCK_GRAMS)).cast("int")), "buckets")
-    spread = buckets.select("_band", "_hash", "_blocks", "_leader", F.explode("_spread").alias("_s"))
-    met = member.select("_set", "_grams", "_band", "_hash", row_salt("_set").alias("_s")).join(spread, ["_band", "_hash", "_s"]).drop("_s")
-    met = stash(met, "members")
+    buckets = member.groupBy("_band", "_hash").agg(F.count("*").alias("_n"), F.sum("_grams").alias("_weight"), F.bit_xor(mark).alias("_x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("_y"))
+    buckets = buckets.filter("_n >= 2").groupBy("_n", "_x", "_y").agg(F.min_by(F.struct("_band", "_hash", "_weight"), F.struct("_band", "_hash")).alias("_b")).select("_n", "_b.*")
+    blocks = F.greatest(F.ceil(F.col("_n") / BLOCK_MEMBERS), F.ceil(F.col("_weight") / BLOCK_GRAMS)).cast("int")
+    buckets = stash(buckets.select("_band", "_hash", "_n", blocks.alias("_blocks")), "buckets")
+    maybe = stash(may_hold(member, ["_band", "_hash"], buckets, buckets.count()), "maybe")
+    met = stash(with_summary(maybe, ["_band", "_hash"], buckets, "_n", maybe.count(), inner=True).drop("_n"), "members")
 
     # full sets of the representatives that met anyone, from their texts, which are found by place and do not shuffle
-    busy = stash(met.select("_set").distinct().join(reps, "_set").select("_set", "_rep.*", "_copies", "_bands"), "busy")
-    near = marked(own_texts, "_file", "_at", marks(busy, "_file", "_at", F.lit(True)), total, 1, "_busy").filter("_busy = 1")
-    sets = stash(_full_sets(near.select("_id", "_text"), n).join(busy.select("_set", "_copies", "_bands"), "_set"), "sets")
+    large = F.col("_blocks") > 1
+    near = marked(own_texts, "_file", "_at", marks(met, "_file", "_at", F.lit(True), large), total, 2, "_busy").filter("_busy > 0")
+    sets = stash(_full_sets(near.select("_text", (F.col("_busy") > 1).alias("_hot")), n, bands, rows), "sets")
+    hot_sets = sets.filter("_hot")
 
-    close = stash(_close(met.filter("_blocks > 1"), sets, threshold), "close")
+    close = stash(_close(met.filter(large), hot_sets, threshold), "close")
     known_links = _close_links(close)
-    members = sets.join(close.select("_set", F.xxhash64("_home").alias("_near")), "_set", "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("long")))
+    near_to = close.select("_set", "_home", F.xxhash64("_home").alias("_near"))
+    placed = stash(met.select("_band", "_hash", "_blocks", "_set", "_grams", "_copies").join(near_to, "_set", "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("long"))), "placed")
     item = F.struct("_set", "_copies", "_bands", "_all", "_near")
-    alone = met.filter("_blocks = 1").select("_band", "_hash", "_set").join(members, "_set").groupBy("_band", "_hash").agg(F.collect_list(item).alias("_items"))
+    alone = placed.filter("_blocks = 1").select("_band", "_hash", "_set", "_copies", "_near").join(sets.select("_set", "_bands", "_all"), "_set")
+    alone = alone.groupBy("_band", "_hash").agg(F.collect_list(item).alias("_items"))
     alone = alone.select(F.col("_band").cast("long"), "_items", F.lit(None).cast(alone.schema["_items"].dataType).alias("_other"), F.lit(True).alias("_same"))
     # large buckets: blocks by what their members are close to; blocks close to the same set are not compared
-    hot = met.filter("_blocks > 1").join(close.select("_set", "_home"), "_set", "left")
+    hot = placed.filter("_blocks > 1")
     parts = hot.groupBy("_band", "_hash", "_home").agg(F.count("*").alias("_n"), F.sum("_grams").alias("_weight"))
     parts = parts.withColumn("_own", F.greatest(F.ceil(F.col("_n") / BLOCK_MEMBERS), F.ceil(F.col("_weight") / BLOCK_GRAMS)).cast("int"))
     bucket = Window.partitionBy("_band", "_hash")
     parts = parts.withColumns({"_end": F.sum("_own").over(bucket.orderBy(F.asc_nulls_first("_home"))).cast("int"), "_total": F.sum("_own").over(bucket).cast("int")})
     parts = stash(parts.withColumn("_until", F.when(F.col("_home").isNull(), F.lit(None).cast("int")).otherwise(F.col("_end"))), "parts")
     start = (F.col("_end") - F.col("_own")).alias("_start")
-    placed = hot.withColumn("_h", F.coalesce(F.hex("_home"), F.lit(""))).withColumn("_s", row_salt("_set"))
-    salts = placed.select("_band", "_hash", "_h", "_s").distinct()
-    spans = salts.join(parts.select("_band", "_hash", F.coalesce(F.hex("_home"), F.lit("")).alias("_h"), start, "_own", "_until", "_total"), ["_band", "_hash", "_h"])
-    placed = placed.select("_band", "_hash", "_h", "_s", "_set").join(spans, ["_band", "_hash", "_h", "_s"])
-    placed = placed.withColumn("_block", (F.col("_start") + F.pmod(F.xxhash64(F.lit(3), "_set"), F.col("_own"))).cast("int"))
-    numbers = placed.select("_band", "_hash", "_block", F.coalesce("_until", "_block").alias("_from"), "_total").distinct().filter("_from < _total")
+    hot = hot.withColumn("_h", F.coalesce(F.hex("_home"), F.lit("")))
+    spans = parts.select("_band", "_hash", F.coalesce(F.hex("_home"), F.lit("")).alias("_h"), start, "_own", "_until", "_total", F.col("_n").alias("_members"))
+    hot = with_summary(hot.select("_band", "_hash", "_h", "_set", "_copies", "_near"), ["_band", "_hash", "_h"], spans, "_members", placed.count(), inner=True)
+    hot = hot.withColumn("_block", (F.col("_start") + F.pmod(F.xxhash64(F.lit(3), "_set"), F.col("_own"))).cast("int"))
+    numbers = hot.select("_band", "_hash", "_block", F.coalesce("_until", "_block").alias("_from"), "_total").distinct().filter("_from < _total")
     pairs = stash(numbers.select("_band", "_hash", F.col("_block").alias("_i"), F.explode(F.sequence("_from", F.col("_total") - 1)).alias("_j")), "pairs")
     used = pairs.select("_band", "_hash", F.explode(F.array("_i", "_j")).alias("_block")).distinct()
-    many = placed.select("_band", "_hash", "_block", "_set").join(used, ["_band", "_hash", "_block"]).join(members, "_set")
+    many = hot.select("_band", "_hash", "_block", "_set", "_copies", "_near").join(used, ["_band", "_hash", "_block"]).join(hot_sets.select("_set", "_bands", "_all"), "_set")
     many = stash(many.groupBy("_band", "_hash", "_block").agg(F.collect_list(item).alias("_items")), "blocks")
     left = pairs.join(many.select("_band", "_hash", F.col("_block").alias("_i"), "_items"), ["_band", "_hash", "_i"])
     right = many.select("_band", "_hash", F.col("_block").alias("_j"), F.col("_items").alias("_other"))
     both = left.join(right, ["_band", "_hash", "_j"]).select(F.col("_band").cast("long"), "_items", "_other", (F.col("_i") == F.col("_j")).alias("_same"))
     with batches_of(spark, 16):  # of pairs of blocks
         found = stash(_compare(alone.unionAll(both), threshold).unionAll(known_links), "found")
-    release(buckets, met, busy, sets, close, parts, pairs, many)
+    release(buckets, maybe, met, sets, close, placed, parts, pairs, many)
 
     classes = components(found.filter("b IS NOT NULL"))
     links = found.filter("b IS NULL").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))
@@ -330,7 +337,7 @@ def _classed(wide: DataFrame, file: str, at: str, doc_id: str, text: str, n: int
     known = reps.select("_set", "_rep", "_copies").join(links, "_set", "left").join(class_of, "_set", "left").filter("_copies > 1 OR _links IS NOT NULL")
     known = known.select("_set", F.coalesce("_class", "_rep").alias("_best"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"), "_copies")
     each = signed.select("_id", F.when(F.col("_id").isNotNull(), F.col("_set")).alias("_set"), "_file", "_at")
-    return with_summary(each, "_set", stash(known, "known"), "_copies", total).select("_id", "_file", "_at", "_best", "_links")
+    return with_summary(each, ["_set"], stash(known, "known"), "_copies", total).select("_id", "_file", "_at", "_best", "_links")
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -179,17 +179,20 @@ def marked(wide: DataFrame, file: str, at: str, bitmaps: DataFrame, rows: int, l
     return out
 
 
-def with_summary(rows: DataFrame, key: str, summary: DataFrame, size: str, total: int) -> DataFrame:
-    """``rows`` left-joined to one ``summary`` row a key (null keys meet none); ``size`` is about how many rows have the key.
+def with_summary(rows: DataFrame, keys: list[str], summary: DataFrame, size: str, total: int, inner: bool = False) -> DataFrame:
+    """``rows`` joined to one ``summary`` row a key, left (null keys meet none) or inner; ``size`` is about how many rows have the key.
 
     Heavy keys, fewer than HEAVY by definition, are broadcast; so rows of a hot key do not shuffle, and no key of the
-    shuffled rest has more than total / HEAVY rows.
+    shuffled rest has more than total / HEAVY rows. ``rows`` and ``summary`` are read several times: written tables.
     """
     hot = F.col(size) * F.lit(HEAVY) > F.lit(total)
-    few, rest = stash(summary.filter(hot), "heavy"), summary.filter(~hot)
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in summary.schema if f.name != key]
-    none = rows.filter(F.col(key).isNull()).select(*own(rows), *blank)
-    some = rows.filter(F.col(key).isNotNull())
-    heavy = some.join(F.broadcast(few), key).select(*own(rows), *[f.name for f in summary.schema if f.name != key])
-    light = some.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, "left").select(*own(rows), *[f.name for f in summary.schema if f.name != key])
-    return none.unionAll(heavy).unionAll(light)
+    few, rest = summary.filter(hot), summary.filter(~hot)
+    new = [f for f in summary.schema if f.name not in keys]
+    columns = [*rows.columns, *[f.name for f in new]]
+    empty = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) > 0
+    some = rows.filter(~empty)
+    heavy = some.join(F.broadcast(few), keys).select(columns)
+    light = some.join(F.broadcast(few.select(keys)), keys, "left_anti").join(rest, keys, "inner" if inner else "left").select(columns)
+    if inner:
+        return heavy.unionAll(light)
+    return rows.filter(empty).select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in new]).unionAll(heavy).unionAll(light)

@@ -122,8 +122,10 @@ def test_heavy_keys_meet_their_summary(spark, monkeypatch):
     monkeypatch.setattr(store, "HEAVY", 5)
     rows = spark.createDataFrame([("a" if k < 60 else None if k < 70 else f"k{k}", k) for k in range(100)], "k string, v long")
     summary = spark.createDataFrame([("a", 60, "x"), ("k80", 1, "y"), ("other", 1, "z")], "k string, n long, s string")
-    got = {r.v: r.s for r in store.with_summary(rows, "k", summary, "n", 100).collect()}
+    got = {r.v: r.s for r in store.with_summary(rows, ["k"], summary, "n", 100).collect()}
+    both = store.with_summary(rows, ["k"], summary, "n", 100, inner=True).collect()
     assert got == {k: "x" if k < 60 else "y" if k == 80 else None for k in range(100)}
+    assert sorted(r.v for r in both) == [*range(60), 80]
 
 
 def water(sizes, weights, total, most):

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlake.llm import ngram_join, packing, text, topk, toxicity
+from strandlake.llm import ngram_join, packing, store, text, topk, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -125,6 +125,7 @@ ODD = [(1, "one two"), (2, "one two"), (3, "one  two "), (4, None), (5, ""), (6,
 @pytest.mark.parametrize("rows", [ODD + near_rows(1, 30, 8), near_rows(2, 1, 400), near_rows(3, 3, 200, words=25)])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 16)  # many pairs of blocks
+    monkeypatch.setattr(store, "HEAVY", 4)  # few heavy keys
     got = ngram_join.join(frame(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_links(rows)
     kept = {r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect()}
