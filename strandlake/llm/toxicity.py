@@ -15,8 +15,8 @@ most ``TRAIN_PER_CLASS`` labelled rows a class, by hash of the id. Scores use th
 Defined cases: a null text is empty and gets the score of a text without any feature. Rows equal in id and text get
 equal scores. Labels with null fields do not count; an id with several labels is toxic if one says so. Without labelled
 rows of both classes the score is the share of toxic ones (0 without any). An empty table gives an empty result. Tokens
-of any length are decoded. A token without any letter, or a spelled run without one, is a number and not decoded. Extra
-columns do not matter.
+of any length are decoded, and very long texts are read whole. A token without any letter, or a spelled run without one,
+is a number and not decoded. Columns of the input may have any names; one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandlake.llm.store import bounded_batches, stash
 from strandlake.llm.text import EDGE, LETTER, OTHER, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
@@ -427,10 +428,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a double ``name``: the score of each whole text. All columns pass through; nothing shuffles."""
+    """``docs`` with a double ``name``: the score of each whole text. All columns pass through, but one of that name is replaced; nothing shuffles."""
     bounded_batches(docs.sparkSession)
+    replaced = [c for c in docs.columns if c.lower() == name.lower()]
+    if replaced and text in replaced:
+        raise ValueError(f"the scores cannot replace the texts they are read from: {name}")
+    docs = docs.drop(*replaced)
     at = docs.columns.index(text)
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    names = [f"c{k}" for k in range(len(docs.columns))]  # plain ones on the way through Python
+    schema = StructType([*docs.toDF(*names).schema.fields, StructField("s", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,10 +444,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
                 part = batch.slice(low, 512)
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 found = [model.score(texts[a:b]) for a, b in chunks(texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(found))], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(found))], names=[*names, "s"])
         give_back()
 
-    return docs.mapInArrow(run, ", ".join([*columns, f"`{name}` double"]))
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def held_out(doc_id: str) -> Column:

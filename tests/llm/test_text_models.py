@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -265,38 +266,97 @@ def model_words(model, token):
     return [w for s in spans for r in toxicity.readings(s, costs) for w in r.split()] + [w for _, s in spelled for w in toxicity.decode(s, costs, True).split()]
 
 
-def brute_decode(token, costs):
-    """All likeliest readings of a token of letters and look-alikes, none dropped but repetitions."""
+def brute_decode(token, costs, spaced=False):
+    """All likeliest readings of a token, by trying every choice at every character: letters that it may stand for, repetitions
+    dropped, marks dropped or taken as word ends, and, where letters are spaced, word ends between any two."""
     sym = toxicity._tables()["symbol"]
     found = []
 
     def walk(i, out, cost, a, b):
         if i == len(token):
-            found.append((cost + float(costs[a, b, 0]), out))
+            found.append((cost + (float(costs[a, b, 0]) if b else 0.0), out.strip()))
             return
         c = token[i]
-        options = [(x, toxicity.LOOK) for x in toxicity.LOOKS.get(c, "")] or [(c, 0.0)]
+        options = [(x, toxicity.LOOK) for x in toxicity.LOOKS.get(c, "")] or ([(c, 0.0)] if c.isalpha() else [])
+        tripled = any(token[k : k + 3] == c * 3 for k in (i - 2, i - 1) if k >= 0) or (i > 0 and token[i - 1 : i + 2] == c * 3)
         for x, extra in options:
             s = int(sym[ord(x)])
             walk(i + 1, out + x, cost + extra + float(costs[a, b, s]), b, s)
             if out.endswith(x):
-                walk(i + 1, out, cost + extra + toxicity.DOUBLE, a, b)
+                walk(i + 1, out, cost + extra + (toxicity.REPEAT if tripled else toxicity.DOUBLE), a, b)
+            if spaced and b:
+                walk(i + 1, out + " " + x, cost + extra + toxicity.BREAK + float(costs[a, b, 0]) + float(costs[0, 0, s]), 0, s)
+        drop = toxicity.DROP if c in toxicity.SEPARATORS else toxicity.STRAY
+        if not options:
+            walk(i + 1, out, cost + drop, a, b)
+        if (not options or c in toxicity.MARKS) and (b or options):
+            walk(i + 1, out + " " if b else out, cost + drop + (float(costs[a, b, 0]) if b else 0.0), 0, 0)
 
     walk(0, "", 0.0, 0, 0)
-    return {out for cost, out in found if cost < min(found)[0] + 1e-6}
+    return {out for cost, out in found if cost < min(found)[0] + 1e-5}
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text("abt1$6hs", min_size=1, max_size=6).filter(lambda t: not any(t[k] == t[k + 1] == t[k + 2] for k in range(len(t) - 2))))
+@settings(max_examples=60, deadline=None)
+@given(st.text("abt1$6hs", min_size=1, max_size=6))
 def test_viterbi_equals_enumeration(model, token):
     assert toxicity.decode(token, model.costs) in brute_decode(token, model.costs)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text("ado1.-!#", min_size=1, max_size=6), st.booleans())
+def test_viterbi_equals_enumeration_with_marks_and_spaces(model, token, spaced):
+    assert toxicity.decode(token, model.costs, spaced) in brute_decode(token, model.costs, spaced)
+
+
+def test_long_disguises_score_as_toxic(model):
+    clean = "hareon tistan esha reti onhare tian sthare onti hare reon"
+    hidden = ["idi" + "o" * 30 + "t", "i.d.i.o.t." * 5, "s.t.u.p.i.d.m.o.r.o.n.i.d.i.o.t", "s.t.u.p.i.d." * 40, "m" + "o" * 500 + "ron"]
+    scores = model.score([f"{clean} {h} {h} {clean}" for h in hidden])
+    assert (scores > 0.5).all(), scores
+
+
+def plain_features(words):
+    """(text, whether a beginning) of each word and its beginnings, counted."""
+    return Counter([(w, False) for w in words] + [(w[:n], True) for w in words for n in toxicity.BEGINNINGS if len(w) > n])
+
+
+def test_scores_equal_a_plain_version(model):
+    """Clear words and restored ones, counted one by one; hashes only name the features."""
+    def hashed(x, beginning):
+        codes = np.array([ord(c) for c in x], dtype=np.uint32)
+        h = text.Hasher().slices(codes, np.array([0]), np.array([len(codes)]))[0]
+        return int(h ^ np.uint64(0x5851F42D4C957F2D)) if beginning else int(h)
+
+    places = {int(h): k for k, h in enumerate(model.features)}
+    cases = ["you idiot", "a 5tup1d m0r0n, hare reon", "reon 1d10t reon 1d10t tian", "", "hare reon tian", "w0rthl355"]
+    got = model.score(cases)
+    for t, score in zip(cases, got, strict=True):
+        own = [w for w in "".join(c if c.isalpha() else " " for c in t).split()]
+        counts = plain_features(own)
+        for token in t.replace(",", " ").split():
+            if any(c.isalpha() for c in token) and any(c in toxicity.LOOKS for c in token):
+                clear = plain_features("".join(c if c.isalpha() else " " for c in token).split())
+                restored = Counter()
+                for reading in toxicity.readings(token, model.costs.tolist()):
+                    restored |= plain_features(reading.split())
+                counts += restored - clear
+        x = np.zeros(len(model.features) + 2)
+        for (f, beginning), n in counts.items():
+            k = places.get(hashed(f, beginning))
+            if k is not None:
+                x[k] = max(0.0, np.log(n / (len(own) * model.rates[k] + 0.3)))
+        x[-2:] = np.log1p(len(own)) / 5, 1.0
+        assert abs(1 / (1 + np.exp(-x @ model.weights)) - score) < 1e-9, t
+
+
 def test_toxicity_odd_rows(spark, model):
     rows = [(1, None), (2, ""), (None, "idiot moron stupid"), (3, "x " * 40000), (3, "x " * 40000), (4, "\0 1 2 3 \U0001d7d9")]
     got = toxicity.score(frame(spark, rows), model, name="tox").collect()
     assert len(got) == len(rows) and all(0 <= r.tox <= 1 for r in got)
     assert toxicity.score(frame(spark, []), model).count() == 0
+    clash = frame(spark, rows).withColumn("SCORE", F.lit("theirs")).withColumn("a.b", F.lit("dot"))
+    again = toxicity.score(clash, model)
+    assert again.columns == [*frame(spark, rows).columns, "a.b", "score"] and sorted(r.score for r in again.collect()) == sorted(r.tox for r in got)
     schema = "doc_id long, quality int, toxic int"
     none = toxicity.fit(frame(spark, rows), spark.createDataFrame([], schema))
     assert none.score(["idiot"])[0] < 1e-9
