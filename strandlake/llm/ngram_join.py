@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.components import components
 from strandlake.llm.exact_dedup import may_hold
-from strandlake.llm.store import addressed, batches_of, bounded_batches, fresh, group_lookup, marked, marks, own, release, row_salt, stash, with_summary
+from strandlake.llm.store import SALTS, addressed, batches_of, bounded_batches, fresh, group_lookup, marked, marks, own, release, row_salt, stash, with_summary
 from strandlake.llm.text import EDGE, SPACE, Hasher, char_class, chunks, code_points, give_back, mixed
 
 #: Hash functions at most; members and n-grams of a block.
@@ -330,7 +330,9 @@ def _classed(wide: DataFrame, file: str, at: str, doc_id: str, text: str, n: int
     release(buckets, maybe, met, sets, close, placed, parts, pairs, many)
 
     classes = components(found.filter("b IS NOT NULL"))
-    links = found.filter("b IS NULL").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))
+    # a set that many blocks were compared with has a row for each of them: added up over salted keys first
+    links = found.filter("b IS NULL").groupBy(F.col("a").alias("_set"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_s")).agg(F.sum("links").alias("_links"))
+    links = links.groupBy("_set").agg(F.sum("_links").alias("_links"))
     named = classes.join(reps.select(F.col("_set").alias("node"), "_rep"), "node")
     met_class = group_lookup(named.withColumn("_s", row_salt("node")), ["component"], "_s", F.min("_rep").alias("_class"))
     class_of = met_class.select(F.col("node").alias("_set"), "_class")

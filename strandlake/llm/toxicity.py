@@ -41,8 +41,8 @@ from strandlake.llm.text import EDGE, LETTER, OTHER, SPACE, Hasher, char_class,
 TRAIN_PER_CLASS, FEATURES, LEAST_G2 = 6000, 512, 9.0
 #: Symbols of the character model: 0 ends a word, 1 to 26 are a to z, the rest stand for all other letters.
 SYMBOLS = 48
-#: Characters up to which the worker remembers what a token decodes to; longer ones are decoded anew each time.
-REMEMBERED = 30
+#: Characters up to which the worker remembers what a token decodes to (longer ones are decoded anew each time), and tokens it remembers.
+REMEMBERED, KNOWN = 30, 50_000
 BEGINNINGS = (4, 5, 6)
 #: What characters may stand for (fixed values, common usage).
 LOOKS = {
@@ -253,7 +253,7 @@ class Reader:
                 found |= next(counts)
             fresh[key] = found - own
         out = [fresh[k] if k in fresh else self.known[k] for k in keys]
-        if len(self.known) > 200_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         self.known.update((k, f) for k, f in fresh.items() if len(k[0]) <= REMEMBERED)
         return out
