@@ -1,7 +1,7 @@
 """Avro binary encoding of rows and its base64 form.
 
-spark-avro need not be installed: rows are encoded in Arrow batches from their Spark schema, every field as a union
-with null. Base64 comes in lines of 76 characters with CRLF, as MIME has it, or unbroken.
+spark-avro need not be installed: rows are encoded in Arrow batches from their Spark schema, every field
+or array item as a union with null. Base64 comes in lines of 76 characters with CRLF, as MIME has it, or unbroken.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ _NAMES = {StringType: "string", IntegerType: "int", LongType: "long", DoubleType
 
 
 def avro_schema(kind: DataType, name: str = "record") -> Any:
-    """The Avro schema, as JSON data, of a Spark type; every struct field may be null."""
+    """The Avro schema, as JSON data, of a Spark type; every struct field and array item may be null."""
     if isinstance(kind, StructType):
         return {"type": "record", "name": name, "fields": [{"name": f.name, "type": ["null", avro_schema(f.dataType, f"{name}_{f.name}")], "default": None} for f in kind]}
     if isinstance(kind, ArrayType):
-        return {"type": "array", "items": avro_schema(kind.elementType, f"{name}_item")}
+        return {"type": "array", "items": ["null", avro_schema(kind.elementType, f"{name}_item")]}
     return _NAMES[type(kind)]
 
 
@@ -41,15 +41,12 @@ def encode(value: Any, kind: DataType, out: bytearray) -> None:
     """Append the encoding of a value that is not null."""
     if isinstance(kind, StructType):
         for f in kind:
-            own = value[f.name]
-            out += _long(0 if own is None else 1)
-            if own is not None:
-                encode(own, f.dataType, out)
+            _encode_union(value[f.name], f.dataType, out)
     elif isinstance(kind, ArrayType):
         if value:
             out += _long(len(value))
             for x in value:
-                encode(x, kind.elementType, out)
+                _encode_union(x, kind.elementType, out)
         out += _long(0)
     elif isinstance(kind, (StringType, BinaryType)):
         raw = value.encode() if isinstance(value, str) else bytes(value)
@@ -62,6 +59,12 @@ def encode(value: Any, kind: DataType, out: bytearray) -> None:
         out += struct.pack("<f" if isinstance(kind, FloatType) else "<d", value)
 
 
+def _encode_union(value: Any, kind: DataType, out: bytearray) -> None:
+    out += _long(0 if value is None else 1)
+    if value is not None:
+        encode(value, kind, out)
+
+
 def read_long(src: io.BytesIO) -> int:
     shift = n = 0
     while True:

@@ -9,49 +9,63 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 Row = Mapping[str, Any]
 Factory = Callable[[Mapping[str, str]], Callable[..., Iterable[Row]]]
+#: Output rows of one batch.
+BATCH = 4096
 
 
-def _frame(rows: Iterable[Row], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=columns, dtype=object)
+def _batches(rows: Iterable[Row], schema: StructType) -> Iterator[pa.RecordBatch]:
+    arrow = to_arrow_schema(schema)
+    held: list[Row] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH:
+            yield pa.RecordBatch.from_pylist(held, arrow)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, arrow)
+
+
+def _table(rows: Iterable[Row], schema: StructType) -> pa.Table:
+    return pa.Table.from_batches(list(_batches(rows, schema)), to_arrow_schema(schema))
 
 
 def map_records(df: DataFrame, factory: Factory, schema: StructType, settings: Mapping[str, str] | None = None) -> DataFrame:
-    """Zero or more output rows for each input row, by ``factory(settings)(row)``."""
-    own, columns = dict(settings or {}), schema.names
+    """Zero or more output rows for each input row, by ``factory(settings)(row)``. Values pass through Arrow, so longs beside nulls stay longs."""
+    own = dict(settings or {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = factory(own)
-        for pdf in batches:
-            yield _frame((out for row in pdf.to_dict("records") for out in each(row)), columns)
+        yield from _batches((out for batch in batches for row in batch.to_pylist() for out in each(row)), schema)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def reduce_groups(df: DataFrame, key: str, factory: Factory, schema: StructType, settings: Mapping[str, str] | None = None) -> DataFrame:
     """Output rows for each group, by ``factory(settings)(key, rows)``; a group must fit a task."""
-    own, columns = dict(settings or {}), schema.names
+    own = dict(settings or {})
 
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(factory(own)(k[0], pdf.to_dict("records")), columns)
+    def run(k: tuple, rows: pa.Table) -> pa.Table:
+        return _table(factory(own)(k[0].as_py(), rows.to_pylist()), schema)
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    return df.groupBy(key).applyInArrow(run, schema)
 
 
 def reduce_two(left: DataFrame, right: DataFrame, key: str, factory: Factory, schema: StructType, settings: Mapping[str, str] | None = None) -> DataFrame:
     """Output rows for each key of two tables, by ``factory(settings)(key, left rows, right rows)``."""
-    own, columns = dict(settings or {}), schema.names
+    own = dict(settings or {})
 
-    def run(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _frame(factory(own)(k[0], a.to_dict("records"), b.to_dict("records")), columns)
+    def run(k: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        return _table(factory(own)(k[0].as_py(), a.to_pylist(), b.to_pylist()), schema)
 
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, schema)
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
 
 
 def counted(df: DataFrame, name: str, **conditions: Any) -> tuple[DataFrame, Any]:

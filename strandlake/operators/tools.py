@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +33,28 @@ def simulator_command(tool: str, source: str, prefix: str, fold: int, length: in
 
 
 def run_simulator(tasks: DataFrame, tool: str) -> DataFrame:
-    """SAM lines (readFile, line) that the tool writes for each descriptor; a failing tool fails the task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for d in pdf.to_dict("records"):
+    """Lines (readFile, errorFree, line) that the tool writes for each descriptor: SAM if error-free, else FASTQ with the four lines of a
+    record joined by tabs; a failing tool fails the task."""
+
+    def lines_of(d: dict[str, Any], folder: str) -> list[str]:
+        prefix = os.path.join(folder, "reads")
+        source = d["sequenceFile"].removeprefix("file://").removeprefix("file:")
+        subprocess.run(simulator_command(tool, source, prefix, d["foldCoverage"], d["readLength"], d["errorFree"]), check=True, capture_output=True)
+        with open(prefix + ("_errFree.sam" if d["errorFree"] else ".fq")) as f:
+            lines = f.read().split("\n")
+        if d["errorFree"]:
+            return [x for x in lines if x]
+        return ["\t".join(lines[k : k + 4]) for k in range(0, len(lines) - 3, 4)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.to_pylist():
                 with tempfile.TemporaryDirectory() as folder:
-                    prefix = os.path.join(folder, "reads")
-                    source = d["sequenceFile"].removeprefix("file://").removeprefix("file:")
-                    subprocess.run(simulator_command(tool, source, prefix, d["foldCoverage"], d["readLength"], d["errorFree"]), check=True, capture_output=True)
-                    name = prefix + ("_errFree.sam" if d["errorFree"] else ".sam")
-                    with open(name) as f:
-                        lines = f.read().split("\n")
-                yield pd.DataFrame({"readFile": d["readFile"], "line": [x for x in lines if x]})
+                    lines = lines_of(d, folder)
+                n = len(lines)
+                yield pa.RecordBatch.from_arrays([pa.array([d["readFile"]] * n, pa.string()), pa.array([d["errorFree"]] * n, pa.bool_()), pa.array(lines, pa.string())], names=["readFile", "errorFree", "line"])
 
-    return tasks.mapInPandas(run, "readFile string, line string")
+    return tasks.mapInArrow(run, "readFile string, errorFree boolean, line string")
 
 
 def simulate_reads(sequences: DataFrame, fold: int = 10, length: int = 100, seed: int = 7) -> DataFrame:
@@ -53,12 +63,16 @@ def simulate_reads(sequences: DataFrame, fold: int = 10, length: int = 100, seed
     n = F.ceil(F.lit(fold) * F.length("read") / F.lit(length)).cast("int")
     long_enough = sequences.filter(F.length("read") >= length)
     each = long_enough.select("id", "read", F.explode(F.sequence(F.lit(1), n)).alias("k"))
-    start = F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.length("read") - length + 1).cast("int")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "id", "k")), 1, 15), 16, 10).cast("long")
+    start = F.pmod(drawn, F.length("read") - length + 1).cast("int")
     return each.select(F.concat_ws("-", "id", "k").alias("id"), F.substring(F.col("read"), start + 1, F.lit(length)).alias("read"), F.repeat(F.lit("I"), F.lit(length)).alias("qvalue"))
 
 
-def simulated_fastq(sam: DataFrame) -> DataFrame:
-    return sam_to_fastq(sam.select("line"))
+def simulated_fastq(lines: DataFrame) -> DataFrame:
+    """(id, read, qvalue) of the lines of ``run_simulator``."""
+    t = F.split("line", "\t")
+    other = lines.filter("NOT errorFree").select(F.regexp_extract(t[0], r"^@(\S*)", 1).alias("id"), t[1].alias("read"), t[3].alias("qvalue"))
+    return sam_to_fastq(lines.filter("errorFree").select("line")).unionAll(other)
 
 
 def run_aligner(inputs: DataFrame, build: str = "bowtie-build", align: str = "bowtie") -> DataFrame:
@@ -88,11 +102,41 @@ def run_aligner(inputs: DataFrame, build: str = "bowtie-build", align: str = "bo
     return inputs.mapInPandas(run, "value string")
 
 
-def align_reads(reads: DataFrame, contigs: DataFrame, length: int = 25, groups: int = 64, build: str = "bowtie-build", align: str = "bowtie") -> DataFrame:
-    """Mappings of shortened reads: each group of reads is aligned against all contigs, which must fit a task."""
+def build_index(contigs: DataFrame, build: str = "bowtie-build") -> str:
+    """Index all contigs once, on the driver's disk (rows stream there, one at a time), and give the index to every executor. Its name for ``aligned``."""
+    spark, name = contigs.sparkSession, f"index-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp()
+    with open(os.path.join(folder, "contigs.fasta"), "w") as f:
+        for r in contigs.select("node_id", "sequence").dropna().toLocalIterator():
+            f.write(f">{r.node_id}\n{r.sequence}\n")
+    subprocess.run([build, f.name, os.path.join(folder, name)], check=True, capture_output=True)
+    for part in os.listdir(folder):
+        if part.startswith(name):
+            spark.sparkContext.addFile(os.path.join(folder, part))
+    return name
+
+
+def aligned(reads: DataFrame, index: str, align: str = "bowtie") -> DataFrame:
+    """Lines of the aligner's output for FASTQ records (id, read, qvalue), one run of it for each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as folder:
+            query, out, n = os.path.join(folder, "query.fastq"), os.path.join(folder, "out.txt"), 0
+            with open(query, "w") as f:
+                for batch in batches:
+                    for r in batch.to_pylist():
+                        f.write(f"@{r['id']}\n{r['read']}\n+\n{r['qvalue']}\n")
+                        n += 1
+            if n:
+                subprocess.run([align, "-q", "-v", "1", "-M", "2", os.path.join(SparkFiles.getRootDirectory(), index), query, out], check=True, capture_output=True)
+                with open(out) as f:
+                    while lines := f.readlines(1 << 20):
+                        yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\n") for x in lines if x != "\n"], pa.string())], names=["value"])
+
+    return reads.select("id", "read", "qvalue").mapInArrow(run, "value string")
+
+
+def align_reads(reads: DataFrame, contigs: DataFrame, length: int = 25, build: str = "bowtie-build", align: str = "bowtie") -> DataFrame:
+    """Mappings of shortened reads against all contigs, whose index must fit an executor's disk, as the aligner needs it whole."""
     short = shorten_reads(with_fastq_id(reads).select("fastq.*"), length)
-    read = F.struct(F.struct(F.concat_ws("_", "id", "piece").alias("id"), "read", "qvalue").alias("fastq"))
-    queries = short.groupBy(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g")).agg(F.collect_list(read).alias("query"))
-    references = contigs.agg(F.collect_list(F.struct(F.struct(F.col("node_id").alias("id"), F.col("sequence").alias("read")).alias("fasta"))).alias("reference"))
-    return alignments(run_aligner(queries.join(references).select("reference", "query"), build, align))
-
+    return alignments(aligned(short.withColumn("id", F.concat_ws("_", "id", "piece")), build_index(contigs, build), align))

@@ -42,12 +42,14 @@ class JoinOptions:
     mappings: str = ""
     output: str = ""
     min_contig_length: int = 0
+    format: str = "parquet"  # of the records: parquet or avro
 
 
 @dataclass
 class AlignmentOptions:
     alignments: str = ""
     output_table: str = ""
+    format: str = "parquet"
 
 
 @dataclass
@@ -55,6 +57,7 @@ class CompareOptions:
     full_alignments: str = ""
     short_alignments: str = ""
     output_table: str = ""
+    format: str = "parquet"
 
 
 @dataclass
@@ -62,6 +65,7 @@ class GraphOptions:
     contigs: str = ""
     output: str = ""
     k: int = 0
+    format: str = "parquet"  # of the records: parquet or avro
 
 
 @dataclass
@@ -69,6 +73,7 @@ class ExportOptions:
     contigs: str = ""
     output_table: str = ""
     chunked: bool = True
+    format: str = "parquet"  # of the records: parquet or avro
 
 
 @dataclass

@@ -17,40 +17,40 @@ from strandlake.sources import records, sequence_text
 
 
 def join_contigs_and_mappings(spark: SparkSession, o: params.JoinOptions) -> dict[str, DataFrame]:
-    contigs, reads, mappings = (records.read(spark, p, s) for p, s in ((o.contigs, CONTIG), (o.reads, READ), (o.mappings, MAPPING)))
+    contigs, reads, mappings = (records.read(spark, p, s, o.format) for p, s in ((o.contigs, CONTIG), (o.reads, READ), (o.mappings, MAPPING)))
     return {"joined": joins.contigs_reads_mappings(contigs, mappings, reads)}
 
 
 def join_mappings_and_reads(spark: SparkSession, o: params.JoinOptions) -> dict[str, DataFrame]:
     """Alignments on contigs long enough, the contigs as FASTA and the aligned reads as FASTQ."""
-    contigs = filters.contigs_by_length(records.read(spark, o.contigs, CONTIG), o.min_contig_length)
-    mappings = filters.mappings_by_contigs(records.read(spark, o.mappings, MAPPING), keys.node_ids(contigs))
-    reads = keys.with_fastq_id(records.read(spark, o.reads, READ)).drop("read_id")
+    contigs = filters.contigs_by_length(records.read(spark, o.contigs, CONTIG, o.format), o.min_contig_length)
+    mappings = filters.mappings_by_contigs(records.read(spark, o.mappings, MAPPING, o.format), keys.node_ids(contigs))
+    reads = keys.with_fastq_id(records.read(spark, o.reads, READ, o.format)).drop("read_id")
     aligned = joins.alignments_and_contigs(joins.mappings_and_reads(mappings, reads), contigs)
     return {"alignments": aligned, "contigs.fasta": sequence_text.contig_fasta(contigs), "reads.fastq": sequence_text.alignment_fastq(aligned)}
 
 
 def count_alignments(spark: SparkSession, o: params.AlignmentOptions) -> dict[str, DataFrame]:
-    return {"counts": counts.alignments_per_read(records.read(spark, o.alignments, MAPPING))}
+    return {"counts": counts.alignments_per_read(records.read(spark, o.alignments, MAPPING, o.format))}
 
 
 def read_orientation(spark: SparkSession, o: params.AlignmentOptions) -> dict[str, DataFrame]:
-    return {"orientation": mates.orientations(mates.pairs(records.read(spark, o.alignments, MAPPING)))}
+    return {"orientation": mates.orientations(mates.pairs(records.read(spark, o.alignments, MAPPING, o.format)))}
 
 
 def compare_alignments(spark: SparkSession, o: params.CompareOptions) -> dict[str, DataFrame]:
     """``full_alignments``: text of the aligner; ``short_alignments``: records."""
-    return {"strands": joins.compared_strands(sequence_text.read_alignments(spark, o.full_alignments), records.read(spark, o.short_alignments, MAPPING))}
+    return {"strands": joins.compared_strands(sequence_text.read_alignments(spark, o.full_alignments), records.read(spark, o.short_alignments, MAPPING, o.format))}
 
 
 def validate_graph(spark: SparkSession, o: params.GraphOptions) -> dict[str, DataFrame]:
     if o.k < 2:
         raise ValueError("k must be at least 2")
-    return {"errors": graph.validate(records.read(spark, o.contigs, CONTIG), o.k)}
+    return {"errors": graph.validate(records.read(spark, o.contigs, CONTIG, o.format), o.k)}
 
 
 def export_graph(spark: SparkSession, o: params.ExportOptions) -> dict[str, DataFrame]:
-    return {"nodes": codec.encoded_nodes(records.read(spark, o.contigs, CONTIG), o.chunked)}
+    return {"nodes": codec.encoded_nodes(records.read(spark, o.contigs, CONTIG, o.format), o.chunked)}
 
 
 def simulate(spark: SparkSession, o: params.SimulationOptions) -> dict[str, DataFrame]:
@@ -95,7 +95,7 @@ def run(name: str, spark: SparkSession, options: Any) -> list[str]:
             records.write_text(df, f"{folder}/{key}")
             out.append(f"{folder}/{key}")
         else:
-            records.write(df, f"{folder}/{key}")
+            records.write(df, f"{folder}/{key}", getattr(options, "format", "parquet"))
             out.append(f"{folder}/{key}")
     return out
 

@@ -1,7 +1,9 @@
 """Avro object container files without spark-avro.
 
 Reading is distributed by file through Spark's own file source, so any store that Spark reads will do; a file must fit a
-task. Writing makes one file a partition, committed by renaming.
+task. Writing goes through Spark's text sink, one file a partition, and so has its save modes, its commit protocol and any
+store that Spark writes: a container's header and each of its blocks end with the file's mark, whose last byte is a
+newline, so each is a "line" of bytes.
 """
 
 from __future__ import annotations
@@ -9,15 +11,14 @@ from __future__ import annotations
 import hashlib
 import io
 import json
-import os
 import zlib
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import ArrayType, Row, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from strandlake.functions.codec import _long, avro_schema, decode, encode, read_long
 
@@ -48,7 +49,7 @@ def container_rows(raw: bytes) -> Iterator[dict[str, Any]]:
 def container(rows: Iterator[Any], schema: StructType, name: str = "record") -> Iterator[bytes]:
     """The bytes of a container file, deflate coded."""
     text = json.dumps(avro_schema(schema, name)).encode()
-    sync = hashlib.md5(text).digest()
+    sync = hashlib.md5(text).digest()[:15] + b"\n"
     head = bytearray(MAGIC) + _long(2)
     for key, value in (("avro.schema", text), ("avro.codec", b"deflate")):
         head += _long(len(key)) + key.encode() + _long(len(value)) + value
@@ -97,53 +98,14 @@ def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).filter("length > 0").select("content").mapInArrow(run, schema)
 
 
-class _Written(WriterCommitMessage):
-    def __init__(self, staged: str, final: str) -> None:
-        self.staged, self.final = staged, final
-
-
-class _Writer(DataSourceWriter):
-    def __init__(self, schema: StructType, path: str) -> None:
-        self.schema, self.path = schema, path
-
-    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        part, attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
-        os.makedirs(self.path, exist_ok=True)
-        final = os.path.join(self.path, f"part-{part:05d}.avro")
-        staged = os.path.join(self.path, f".{part:05d}-{attempt}")
-        with open(staged, "wb") as f:
-            for block in container((r.asDict(recursive=False) for r in iterator), self.schema):
-                f.write(block)
-        return _Written(staged, final)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if isinstance(m, _Written):
-                os.replace(m.staged, m.final)
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if isinstance(m, _Written) and os.path.exists(m.staged):
-                os.remove(m.staged)
-
-
-class AvroContainer(DataSource):
-    """``df.write.format("avrocontainer")``: a folder that all executors share."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "avrocontainer"
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(schema, self.options["path"])
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    schema = df.schema
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in container((row for batch in batches for row in batch.to_pylist()), schema):
+            yield pa.RecordBatch.from_arrays([pa.array([part.removesuffix(b"\n")], pa.binary())], names=["value"])
 
-def write(df: DataFrame, path: str) -> None:
-    df.sparkSession.dataSource.register(AvroContainer)
-    df.write.format("avrocontainer").mode("append").save(path.removeprefix("file://"))
+    df.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.mode(mode).option("lineSep", "\n").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -29,14 +30,29 @@ def read(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     if fmt == "avro" and not has_spark_avro(df.sparkSession):
-        avro_files.write(df, path)
+        avro_files.write(df, path, mode)
     else:
         df.write.format(fmt).mode(mode).save(path)
 
 
-def write_text(lines: DataFrame, path: str) -> None:
+def write_text(lines: DataFrame, path: str, compression: str = "none") -> None:
     """One text element a line, one file a partition; an element may itself span lines."""
-    lines.select(F.col(lines.columns[0]).cast("string").alias("value")).write.text(path)
+    lines.select(F.col(lines.columns[0]).cast("string").alias("value")).write.text(path, compression=compression)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); only a local master may go without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file:///tmp/checkpoints/strandlake-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def timestamped_dir(base: str, now: datetime | None = None) -> str:

@@ -58,6 +58,7 @@ def test_node_encoding_round_trip(spark):
     nodes = [
         {"node_id": "someNode", "sequence": "ACTCG" * 40, "coverage": 2.5, "edges": [{"dest_id": "n2", "src_strand": "F", "dest_strand": "R"}]},
         {"node_id": "bare", "sequence": None, "coverage": None, "edges": []},
+        {"node_id": "holes", "sequence": "", "coverage": -0.5, "edges": [None, {"dest_id": None, "src_strand": "F", "dest_strand": None}]},
     ]
     got = {r.node_id: r.node_data for r in codec.encoded_nodes(spark.createDataFrame(nodes, CONTIG)).collect()}
     import base64

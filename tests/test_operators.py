@@ -104,6 +104,20 @@ def test_graph_checks(spark):
     assert graph.validate(df.limit(0), 3).count() == 0
 
 
+def test_graph_checks_move_only_outer_bases(spark, tmp_path):
+    rows = [contig("a", "A" * 5000 + "CG", [("b", "F", "F")]), contig("b", "CG" + "T" * 5000, [("a", "R", "R")])]
+    spark.createDataFrame(rows, CONTIG).write.parquet(str(tmp_path / "nodes"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = graph.validate(spark.read.parquet(str(tmp_path / "nodes")), 3)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        below = plan.split("Exchange", 1)[1]
+        carried = [x for x in plan.splitlines() if "Project" in x and "sequence" in x]
+        assert out.count() == 0 and "sequence" in below and carried and all("substring(sequence" in x for x in carried)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_histogram(spark):
     points = spark.createDataFrame([(float(i), float(i % 10)) for i in range(101)] + [(None, 1.0)], "x double, y double")
     cells = hist.histogram2d(points, "x", "y", logged=True).collect()
@@ -132,6 +146,11 @@ def test_adapters(spark):
     assert sorted(tuple(r) for r in adapters.map_records(df, doubled, schema, {"by": "3"}).collect()) == [("a", 3), ("a", 3), ("a", 6), ("a", 6), ("b", 9), ("b", 9)]
     assert sorted(tuple(r) for r in adapters.reduce_groups(df, "k", summed, schema).collect()) == [("a", 3), ("b", 3)]
     assert sorted(tuple(r) for r in adapters.reduce_two(df, df.filter("k = 'b'"), "k", joined, schema).collect()) == [("a", 20), ("b", 11)]
+    big = spark.createDataFrame([("a", 2**53 + 1), ("a", None)], "k string, n long")
+    same = lambda _: lambda row: [row]
+    assert sorted((tuple(r) for r in adapters.map_records(big, same, schema).collect()), key=str) == [("a", 2**53 + 1), ("a", None)]
+    kept = adapters.reduce_groups(big, "k", lambda _: lambda key, rows: [r for r in rows if r["n"] is not None], schema)
+    assert [tuple(r) for r in kept.collect()] == [("a", 2**53 + 1)]
     watched, seen = adapters.counted(df, "seen", big=F.col("n") > 1)
     watched.collect()
     assert seen.get == {"rows": 3, "big": 2}

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from strandlake import params, streaming
+from strandlake import params, schemas, streaming
 from strandlake.plans import pipelines, registry
 from strandlake.sources import fixtures, records
 
@@ -55,6 +55,16 @@ def test_join_jobs(spark, stored):
     assert spark.read.text(out[2]).count() == 16
 
 
+def test_jobs_over_avro(spark, tmp_path):
+    for name, df in fixtures.assembly(spark, 4).items():
+        records.write(df, str(tmp_path / name), "avro")
+    o = params.JoinOptions(contigs=f"{tmp_path}/nodes", reads=f"{tmp_path}/reads", mappings=f"{tmp_path}/alignments", output=f"{tmp_path}/out", format="avro")
+    (joined,) = pipelines.run("join-contigs-and-mappings", spark, o)
+    assert records.read(spark, joined, schemas.CONTIG_READ_MAPPINGS, "avro").count() == 4
+    (counts,) = pipelines.run("count-alignments", spark, params.AlignmentOptions(f"{tmp_path}/alignments", "avro_counts", "avro"))
+    assert spark.table(counts).count() == 4
+
+
 def test_table_jobs(spark, stored):
     (counts,) = pipelines.run("count-alignments", spark, params.AlignmentOptions(f"{stored}/alignments", "counts"))
     assert counts.startswith("counts_2") and spark.table(counts).count() == 4
