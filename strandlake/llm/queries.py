@@ -84,14 +84,22 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH RECURSIVE rules(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>')) AS tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)' AS pattern FROM pages
-  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')), '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)' FROM pages),
-links AS (SELECT url, CASE WHEN pattern LIKE '%href%' THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1) ELSE regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1) END AS t FROM tags),
-ends AS (SELECT regexp_extract(url, '^[^#]*') AS a, regexp_extract(CASE WHEN t LIKE '//%' THEN regexp_extract(url, '^[^:/?#]*:') || t WHEN t LIKE '/%' THEN regexp_extract(url, '^[^:/?#]*://[^/?#]*') || t ELSE t END, '^[^#]*') AS b FROM links
-  WHERE contains(url, '://')),
-edges AS (SELECT a, b FROM ends WHERE contains(b, '://') AND a <> b),
+bodies AS (SELECT url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?(?:-->|\z)', '', 'g') AS body FROM pages),
+tags AS (SELECT url, regexp_extract(unnest(regexp_extract_all(body, '(?is)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"[^>]*|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''[^>]*|canonical(?:[\s/][^>]*)?)>')), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) AS t FROM bodies
+  UNION ALL SELECT url, regexp_extract(unnest(regexp_extract_all(body, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) FROM bodies),
+links AS (SELECT url, regexp_replace(t, '&(amp;|#38;|#[xX]26;)', '&', 'g') AS t, regexp_extract(url, '^[^:/?#]*:') AS scheme, regexp_extract(url, '^[^:/?#]*://[^/?#]*') AS origin,
+  CASE WHEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1) END AS path,
+  regexp_extract(substr(url, position('://' IN url) + 3), '(?s)^[^?#]*(\?[^#]*)?', 1) AS query FROM tags WHERE contains(url, '://')),
+dotted AS (SELECT *, CASE WHEN starts_with(t, '/') THEN t ELSE regexp_extract(path, '(?s)^.*/') || t END AS whole FROM links),
+cut AS (SELECT *, regexp_extract(whole, '(?s)^[^?]*') AS pb, regexp_extract(whole, '(?s)\?.*$') AS pq FROM dotted),
+tidied AS (SELECT *, list_reduce(list_prepend('', string_split(substr(pb, 2), '/')), lambda o, x: CASE WHEN x = '..' THEN regexp_replace(o, '/[^/]*$', '') WHEN x = '.' THEN o ELSE o || '/' || x END) AS kept FROM cut),
+paths AS (SELECT *, CASE WHEN regexp_matches('/' || pb || '/', '/\.\.?/') THEN CASE WHEN kept = '' THEN '/' WHEN regexp_matches(pb, '/\.\.?$') THEN kept || '/' ELSE kept END ELSE pb END || pq AS tidy FROM tidied),
+targets AS (SELECT url AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN t WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '?') THEN origin || path || t WHEN starts_with(t, '#') THEN origin || path || query ELSE origin || tidy END AS b FROM paths),
+ends AS (SELECT translate(regexp_extract(a, '^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(a, length(regexp_extract(a, '^.*?://[^/?#]*')) + 1), '(?s)^[^#]*') AS a,
+  translate(regexp_extract(b, '^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(b, length(regexp_extract(b, '^.*?://[^/?#]*')) + 1), '(?s)^[^#]*') AS b FROM targets WHERE contains(b, '://')),
+edges AS (SELECT a, b FROM ends WHERE a <> b),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 urls AS (SELECT url AS u FROM pages UNION SELECT b FROM reach),
@@ -102,7 +110,7 @@ ruled AS (SELECT s.u, s.host, s.path, arg_max(r.rule, length(r.rule)) AS rule, a
 near AS (SELECT r.a, bool_or(d.verdict = 'allow') AS allowed, bool_or(d.verdict = 'block') AS blocked FROM reach r JOIN ruled d ON d.u = r.b GROUP BY 1)
 SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule,
   coalesce(r.verdict, CASE WHEN n.allowed THEN 'allow' WHEN n.blocked THEN 'block' ELSE 'allow' END) AS verdict, (r.verdict IS NULL AND (coalesce(n.allowed, false) OR coalesce(n.blocked, false))) AS by_alias
-FROM pages p LEFT JOIN ruled r ON r.u = p.url LEFT JOIN near n ON n.a = regexp_extract(p.url, '^[^#]*')
+FROM pages p LEFT JOIN ruled r ON r.u = p.url LEFT JOIN near n ON n.a = translate(regexp_extract(p.url, '^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(p.url, length(regexp_extract(p.url, '^.*?://[^/?#]*')) + 1), '(?s)^[^#]*')
 """
 
 OP3_SQL = r"""
