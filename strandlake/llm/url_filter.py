@@ -22,6 +22,8 @@ input may have any names.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,8 +93,9 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     for text, said in sorted(rules, key=lambda r: (-len(r[0]), r[1] != ALLOW, r[0])):
         host, _, rest = text.partition("/")
         by_host.setdefault(host.translate(str.maketrans(UPPER, LOWER)), []).append(("/" + rest, text, said))
-    rows = [(host, host.count(".") + 1, own) for host, own in by_host.items()]
-    return spark.createDataFrame(rows, "_host string, _labels int, _rules array<struct<prefix:string,rule:string,said:string>>")
+    rows = [{"_host": host, "_labels": host.count(".") + 1, "_rules": [dict(zip(("prefix", "rule", "said"), r, strict=True)) for r in own]} for host, own in by_host.items()]
+    kind = "array<struct<_host:string,_labels:int,_rules:array<struct<prefix:string,rule:string,said:string>>>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
 def with_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -114,11 +117,10 @@ def with_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): a page's URL and each canonical or refresh target in its HTML."""
-    raw = F.lower(F.coalesce(F.col(html), F.lit("")))
-    body = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), COMMENT, "")
-    targets = lambda tag, where: F.transform(F.regexp_extract_all(body, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, where, 1))
-    found = F.when(F.contains(raw, F.lit("canonical")) | F.contains(raw, F.lit("refresh")), F.concat(targets(CANONICAL_TAG, HREF), targets(REFRESH_TAG, REFRESH_URL)))
-    links = pages.select(F.col(url).alias("_url"), F.explode(found).alias("_to"))
+    own = pages.filter(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("_url"), F.regexp_replace(html, COMMENT, "").alias("_body"))
+    targets = lambda tag, where: F.transform(F.regexp_extract_all("_body", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, where, 1))
+    # explode would infer a filter on the targets and so search each page twice
+    links = own.select("_url", F.explode_outer(F.concat(targets(CANONICAL_TAG, HREF), targets(REFRESH_TAG, REFRESH_URL))).alias("_to")).filter("_to IS NOT NULL")
     return links.select(node_of(F.col("_url")).alias("a"), node_of(resolved(F.col("_url"), F.col("_to"))).alias("b")).dropna()
 
 
