@@ -22,9 +22,9 @@ def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.sample_findings(spark))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
-    found = secret_scan.scan(docs, model)
+    words = secret_scan.corpus_words(docs)
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.sample_findings(spark), words), words)
     return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 6).alias("probability"), "secret")
 
 

@@ -7,11 +7,13 @@ the words next to it; a random forest, trained from labelled findings, gives the
 Findings keep the place (code points from 0) and the length. Extraction is one pass over each text; candidates are narrow
 rows and do not shuffle.
 
-Labelled findings are a table (text, path, start, secret): ``sample_findings`` makes a documented one of fixed size for
-where none exists. Training data is bounded by that table.
+Labelled findings are a table (text, path, start, secret), of which at most ``TRAINING`` rows are learned from, by hash;
+``sample_findings`` makes a documented one for where none exists. The dictionary is the corpus's own: its commonest words
+(``corpus_words``), counted over all documents.
 
-Defined cases: a null or empty text has no candidates; a null path counts as empty. Repeated rows give their findings
-again. An empty table gives an empty result. Extra columns do not matter.
+Defined cases: a null or empty text has no candidates; a very long one is searched whole; a null path counts as empty.
+Repeated rows give their findings again. An empty table gives an empty result, and an empty dictionary. Words of equal
+count come in their order. Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -26,18 +28,27 @@ from strandlake.llm.store import stash
 
 KEY = r"A-Za-z0-9+/_\-"
 CANDIDATE = rf"(?<![{KEY}])(?=[{KEY}]*?(?:[0-9]|[a-z][A-Z]))[{KEY}]{{16,}}={{0,2}}"
-#: Words whose presence inside a candidate speaks against a random key (fixed values).
+#: Words that sample findings are made of, and the dictionary where no corpus is given (fixed values).
 DICTIONARY = "the and for that with this from have not are was you all can has will one out use new time name file path http https html index page image user data type list item value class test example sample key token string number version release config default".split()
 #: Words next to a candidate that name secrets, or name other things of the same form (fixed values).
 NAMES_SECRET = r"(?i)(api|access|auth|secret|token|passw|pwd|credential|private|bearer|key)"
 NAMES_OTHER = r"(?i)(commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|example|sample|dummy|placeholder|order|invoice|isbn|serial)"
 CONTEXT, BLOCK = 40, 256
+#: Labelled findings that a forest is trained on at most; words of a dictionary.
+TRAINING, WORDS = 20_000, 400
 FEATURES = [
     "length", "digits", "uppers", "symbols", "digit_letter", "case_changes", "repeats", "distinct", "hex_only", "digits_only", "uuid",
     "dictionary", "vowels", "path_test", "path_depth", "path_length", "near_secret", "near_other", "assigned", "quoted",
 ]
 
 
+def corpus_words(docs: DataFrame, text: str = "text", most: int = WORDS) -> list[str]:
+    """The commonest words of four to twelve letters a to z, by count over all whole texts, then in order."""
+    words = F.filter(F.split(F.lower(F.col(text)), "[^a-z]+"), lambda w: F.length(w).between(4, 12))
+    counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
 def candidates(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
     """All columns of ``docs`` but the text, with ``start``, ``candidate``, ``before`` and ``after`` for each candidate."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -64,8 +75,9 @@ def candidates(docs: DataFrame, text: str = "text", path: str = "path") -> DataF
     return each.select(*[c for c in docs.columns if c != text], where.alias("_path"), F.explode_outer("_found").alias("_f")).filter("_f IS NOT NULL").select("*", "_f.*").drop("_f")
 
 
-def described(found: DataFrame) -> DataFrame:
-    """``found`` with the columns FEATURES, all doubles."""
+def described(found: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """``found`` with the columns FEATURES, all doubles. ``words``: the dictionary; of words that overlap the longest is found first."""
+    dictionary = "|".join(sorted(DICTIONARY if words is None else words, key=lambda w: (-len(w), w)))
     c, low = F.col("candidate"), F.lower("candidate")
     size = F.greatest(F.length(c), F.lit(1))
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / size
@@ -82,7 +94,7 @@ def described(found: DataFrame) -> DataFrame:
         "hex_only": low.rlike("^[0-9a-f]+$"),
         "digits_only": c.rlike("^[0-9]+$"),
         "uuid": low.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"),
-        "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / size,
+        "dictionary": 1 - F.length(F.regexp_replace(low, dictionary, "")) / size if dictionary else F.lit(0.0),
         "vowels": F.regexp_count(low, F.lit("[aeiou]")) / size,
         "path_test": F.lower("_path").rlike("test|example|fixture|mock|doc"),
         "path_depth": F.regexp_count("_path", F.lit("/")),
@@ -95,22 +107,25 @@ def described(found: DataFrame) -> DataFrame:
     return found.withColumns({k: v.cast("int").cast("double") if k in {"hex_only", "digits_only", "uuid", "path_test", "near_secret", "near_other", "assigned", "quoted"} else v.cast("double") for k, v in flags.items()})
 
 
-def _assembled(found: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep").transform(described(found))
+def _assembled(found: DataFrame, words: list[str] | None) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep").transform(described(found, words))
 
 
-def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
-    """A forest from labelled findings: columns text, path, start, secret; a row whose start is no candidate's is not used."""
+def train(findings: DataFrame, words: list[str] | None = None, trees: int = 40, depth: int = 8, seed: int = 17, most: int = TRAINING) -> RandomForestClassificationModel:
+    """A forest from labelled findings: columns text, path, start, secret; a row whose start is no candidate's is not used, nor are
+    more than ``most`` rows, those least by hash."""
     known = stash(findings.select("text", "path", F.col("start").alias("_labelled"), "secret").dropna(subset=["secret"]), "findings")
     found = candidates(known, "text", "path").filter(F.col("start") == F.col("_labelled"))
-    rows = stash(_assembled(found).select("_features", F.col("secret").cast("double").alias("_secret")).coalesce(1), "features")
+    few = found.orderBy(F.xxhash64("candidate", "start", "before", "after"), "candidate", "start", "before", "after", "_path", "secret").limit(most)  # one partition of bounded rows
+    rows = stash(_assembled(few, words).select("_features", F.col("secret").cast("double").alias("_secret")), "features")
     return RandomForestClassifier(featuresCol="_features", labelCol="_secret", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, doc_id: str = "doc_id", text: str = "text", path: str = "path", threshold: float = 0.5) -> DataFrame:
-    """One row for each candidate: id, start, length, candidate, probability, secret (false: removed as a false positive)."""
+def scan(docs: DataFrame, model: RandomForestClassificationModel, words: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "path", threshold: float = 0.5) -> DataFrame:
+    """One row for each candidate: id, start, length, candidate, probability, secret (false: removed as a false positive).
+    ``words``: the dictionary that the model was trained with."""
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), (F.col(path) if path in docs.columns else F.lit(None).cast("string")).alias("_where"))
-    scored = model.transform(_assembled(candidates(own, "_text", "_where")))
+    scored = model.transform(_assembled(candidates(own, "_text", "_where"), words))
     chance = F.element_at(vector_to_array("probability"), 2)
     return scored.select(F.col("_id").alias(doc_id), "start", F.length("candidate").alias("length"), "candidate", chance.alias("probability"), (chance >= threshold).alias("secret"))
 
