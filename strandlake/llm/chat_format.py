@@ -13,8 +13,8 @@ sum over its conversation, so long conversations cost no more than their length.
 row: it must fit a task, which is the only limit.
 
 Defined cases: a null text, role or part is empty; null parts mean the text column. Turns come by turn number, nulls
-first, ties by role, then text; repeated rows are turns of their own. Rows with a null conversation id form one
-conversation. An empty table gives an empty result. Extra columns do not matter.
+first, ties by role, then text; repeated rows are turns of their own. A very long text is formatted whole. Rows with a null
+conversation id form one conversation. An empty table gives an empty result. Columns of the input may have any names.
 """
 
 from __future__ import annotations

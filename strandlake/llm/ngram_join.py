@@ -18,9 +18,10 @@ Every link counts: ``n_links`` is the number of other documents with similarity
 up to the recall of the bands. No bucket is capped.
 
 Defined cases: a null or empty text, or one of white space, has no n-gram: it links to nothing and is a class of its own.
-A text of fewer words than n is one n-gram of all its words. Rows with a null id are links to nobody: class null, no
-links. Rows that repeat an id are documents of their own and share the id's name. An empty table gives an empty result.
-Extra columns do not matter.
+A text of fewer words than n is one n-gram of all its words; a very long one gives all its n-grams. Rows with a null id are
+links to nobody: class null, no links. Rows that repeat an id are documents of their own and share the id's name; of rows
+that tie for the least id of a class the first in its file stays. An empty table gives an empty result. Columns of the
+input may have any names.
 """
 
 from __future__ import annotations

@@ -9,9 +9,10 @@ texts, and what a lost task did is done again from its own input alone; it meets
 Ids: those of the tokenizer file for the text, then the end id. The encoder splits a batch of texts at the tokenizer's
 own piece boundaries with array operations and has the tokenizer encode each distinct piece once.
 
-Defined cases: a null or empty text is one end id. Rows equal in id and text are packed each for itself. An empty table
-gives an empty result. Texts holding a special token's string are encoded whole by the tokenizer. Extra columns do not
-matter.
+Defined cases: a null or empty text is one end id; a very long one is encoded whole and fills windows of its own. Rows
+equal in id and text are packed each for itself; pieces of equal size go in the order they came. An empty table gives an
+empty result. Texts holding a special token's string are encoded whole by the tokenizer. Columns of the input may have
+any names.
 """
 
 from __future__ import annotations

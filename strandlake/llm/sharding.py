@@ -9,9 +9,9 @@ is left, so nothing has to be combined over buckets.
 
 Rows of a group are numbered over salted cells, so a group of any number of copies is spread over many tasks.
 
-Defined cases: a null text has no bytes (size 8); null texts and empty texts are equal. Rows equal in id and text each
-get a slot of their own. An empty table gives an empty result. A group larger than a fair shard makes its shard as large
-as that. Extra columns do not matter.
+Defined cases: a null text has no bytes (size 8); null texts and empty texts are equal; a very long one counts whole. Rows
+equal in id and text each get a slot of their own; groups of equal bytes go by their texts' hash. An empty table gives an
+empty result. A group larger than a fair shard makes its shard as large as that. Columns of the input may have any names.
 """
 
 from __future__ import annotations

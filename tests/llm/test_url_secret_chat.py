@@ -216,6 +216,7 @@ def test_escape_round_trip(spark, texts):
 ROWS = [
     (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 0, "user", "<|end|>\n<|start|>x"), (1, 2, "assistant", "é😀"), (2, 0, None, None), (2, 1, "assistant", ""),
     (None, 5, "user", "x"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same"), (3, None, "system", "first"), (4, 0, "we<|body|>ird", "y"),
+    (5, 0, "assistant", "long <|end|> " * 40_000), (5, 1, "assistant", "tie"), (5, 1, "assistant", "tie too"),
 ]
 
 
@@ -234,7 +235,7 @@ def test_chats_read_back(spark):
         assert r.loss == "".join(x[3] or "" for x in own if x[2] == "assistant")
         for s in r.loss_spans:
             assert r.formatted[s.start : s.start + s.length] == r.turns[s.turn_index].raw
-    assert len(got) == 5 and chat_format.format_chats(chats(spark, [])).count() == 0
+    assert len(got) == 6 and chat_format.format_chats(chats(spark, [])).count() == 0
 
 
 def test_typed_parts(spark):
