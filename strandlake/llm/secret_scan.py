@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives, in DataFrame functions only.
 
-Candidates are tokens of 16 and more key characters that hold a digit or change from lower to upper case. Each is
+Candidates are tokens of 16 and more key characters that hold a digit or change from lower to upper case, and, whatever
+its length and letters, any value assigned to a name that holds a secret-naming word (``password = "hunter2"``). Each is
 described by its length, its character transitions, how much of it dictionary words cover, the path it was found at and
 the words next to it; a random forest, trained from labelled findings, gives the probability that it is a secret.
 
@@ -27,7 +28,13 @@ from pyspark.sql import functions as F
 from strandlake.llm.store import stash
 
 KEY = r"A-Za-z0-9+/_\-"
-CANDIDATE = rf"(?<![{KEY}])(?=[{KEY}]*?(?:[0-9]|[a-z][A-Z]))[{KEY}]{{16,}}={{0,2}}"
+TOKEN = rf"(?<![{KEY}])(?=[{KEY}]*?(?:[0-9]|[a-z][A-Z]))[{KEY}]{{16,}}={{0,2}}"
+#: A value ends at white space, a quote, a bracket, a comma or a semicolon. The first look behind is cheap and mostly fails.
+ASSIGNED = (
+    r"(?<=[=:>][ \t]{0,2}[\"'`]?)(?<=(?i:api_?-?key|access_?-?key|private_?-?key|auth|secret|token|passw|passphrase|pwd|credential)[A-Za-z0-9_\-]{0,16}[\"'`]?[ \t]{0,2}(?::=|=>|[=:])[ \t]{0,2}[\"'`]?)"
+    r"[^\x00-\x20\"'`<>,;()\[\]{}=:][^\x00-\x20\"'`<>,;()\[\]{}]*"
+)
+CANDIDATE = rf"(?:{ASSIGNED}|{TOKEN})"
 #: Words that sample findings are made of, and the dictionary where no corpus is given (fixed values).
 DICTIONARY = "the and for that with this from have not are was you all can has will one out use new time name file path http https html index page image user data type list item value class test example sample key token string number version release config default".split()
 #: Words next to a candidate that name secrets, or name other things of the same form (fixed values).
@@ -131,8 +138,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, words: list[st
 
 
 def sample_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """A labelled table of n findings: random keys named and assigned as secrets are, and look-alikes of six kinds."""
-    i, kind = F.col("id"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(12))
+    """A labelled table of n findings: random keys and short passwords, named and assigned as secrets are, and look-alikes of eight kinds."""
+    i, kind = F.col("id"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(20))
     pick = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(xs))) + 1).cast("int"))
     h = lambda salt: F.sha2(F.concat(F.lit(f"{salt}-"), i.cast("string")), 256)
     b64 = lambda salt, size: F.regexp_replace(F.substring(F.base64(F.unhex(h(salt))), 1, size), r"[\r\n]", "")
@@ -144,11 +151,20 @@ def sample_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     digits = F.concat(F.lit("4"), F.lpad(F.conv(F.substring(h(11), 1, 12), 16, 10), 15, "7"))
     filler = F.concat(F.repeat(pick(12, "x", "0", "A", "ab"), 12), F.lit("1xx0"))
     other = F.when(kind == 6, F.substring(h(13), 1, 40)).when(kind == 7, uuid).when(kind == 8, digits).when(kind == 9, words).when(kind == 10, filler).otherwise(F.concat(word(14), word(15), F.lit("Of"), word(16), word(17), F.lit("Name")))
+    # assigned values of any length: passwords, and what stands in their place in code and prose
+    letters = F.translate(F.substring(h(30), 1, 5), "0123456789", "ghjkmnpqrs")
+    odd = pick(31, "!", "&", ".", "@", "$", "#", "", "-")
+    password = F.when(i % 3 == 0, F.concat(word(32), F.substring(F.conv(F.substring(h(33), 1, 6), 16, 10), 1, 3), odd)).when(i % 3 == 1, F.concat(F.initcap(letters), odd, F.substring(h(34), 1, 4))).otherwise(F.concat(letters, F.substring(F.translate(h(35), "0123456789", "ghjkmnpqrs"), 1, 6)))
+    blank = F.when(i % 3 == 0, pick(36, "null", "None", "true", "required", "string", "str", "changeme", "xxxxxx", "******")).when(i % 3 == 1, F.concat(pick(37, "$", "os.", "config.", "self."), word(38))).otherwise(word(39))
+    plain = F.concat(word(40), pick(41, "", "s", ".", "ed"))
     named = F.concat(pick(18, "api_key", "token", "secret", "password", "auth_token", "access key"), pick(19, " = \"", "=", ": '", ": ", " = "))
     lead = F.when(kind < 6, named).when(kind == 6, pick(20, "commit ", "sha1: ", "checksum = ", "revision ")).when(kind == 10, pick(21, "example token = \"", "sample key: ", "password=")).otherwise(pick(22, "see ", "in ", "id ", "the ", "order number "))
-    key = F.when(kind < 6, random_key).otherwise(other)
+    assigned = F.concat(pick(42, "password", "passwd", "pwd", "DB_PASSWORD", "secret", "auth_token", "user_password"), pick(43, " = \"", "=", ": '", ": ", ' = "', "='"))
+    lead = F.when(kind.isin(12, 13, 14), assigned).when(kind == 15, F.concat(pick(44, "the token", "a secret", "this password", "credentials"), F.lit(": "))).otherwise(lead)
+    lead = F.when(kind > 15, F.concat(pick(45, "with the key", "token is", "use secret", "api key"), pick(46, " ", "\n", " `", " -> "))).otherwise(lead)  # named, not assigned
+    key = F.when((kind < 6) | (kind > 15), random_key).when(kind.isin(12, 13), password).when(kind == 14, blank).when(kind == 15, plain).otherwise(other)
     before = F.concat(word(23), F.lit(" "), word(24), F.lit(" "), lead)
     close = F.when(lead.endswith('"'), '"').when(lead.endswith("'"), "'").otherwise("")
     path = F.concat(pick(25, "src/", "lib/", "tests/", "docs/", "app/config/"), word(26), pick(27, ".py", ".md", ".yaml", ".txt"))
-    rows = spark.range(n).select(F.concat(before, key, close, F.lit(" "), word(28), F.lit(" "), word(29)).alias("text"), path.alias("path"), F.length(before).cast("long").alias("start"), (kind < 6).alias("secret"))
+    rows = spark.range(n).select(F.concat(before, key, close, F.lit(" "), word(28), F.lit(" "), word(29)).alias("text"), path.alias("path"), F.length(before).cast("long").alias("start"), ((kind < 6) | kind.isin(12, 13) | (kind > 15)).alias("secret"))
     return rows

@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -144,7 +145,7 @@ def test_forest_on_findings_of_other_forms(spark, forest):
 
 def brute_candidates(text):
     """(start, candidate, before, after) by Python's own regular expressions."""
-    found = list(re.finditer(secret_scan.CANDIDATE, text))
+    found = list(regex.finditer(secret_scan.CANDIDATE, text))  # looks behind by varying lengths
     ends = [0, *[m.end() for m in found]]
     for k, m in enumerate(found):
         then = text[m.end() : found[k + 1].start()][: secret_scan.CONTEXT] + found[k + 1].group() if k + 1 < len(found) else text[m.end() :]
@@ -168,7 +169,7 @@ def brute_features(c, before, after, path, words):
 
 
 def test_candidates_and_features_equal_plain_versions(spark):
-    texts = [t for t, _, _, _ in other_findings(60, 8)] + ["", "é" * 50 + " tokenA1" * 3 + " " + "Ab1" * 200 + "==", " ".join(f"k{k}=" + "aB3" * 8 for k in range(700))]
+    texts = [t for t, _, _, _ in other_findings(60, 8)] + ["", 'password = "hunter2x9"; pwd: Tr0ub4dor&3\npasswd=é token:= a=b== secret => x', "key: a tokens: token=" + "z" * 50 + " auth=[b] my_secret_name_2 :'q r'", "é" * 50 + " tokenA1" * 3 + " " + "Ab1" * 200 + "==", " ".join(f"k{k}=" + "aB3" * 8 for k in range(700))]
     docs = spark.createDataFrame([(k, t, f"src/test{k % 3}/a.py") for k, t in enumerate(texts)], "doc_id long, text string, path string")
     words = ["account", "count", "invoice", "pay"]
     got = sorted((r.doc_id, r.start, r.candidate, r.before, r.after, *[r[f] for f in secret_scan.FEATURES]) for r in secret_scan.described(secret_scan.candidates(docs), words).collect())
@@ -186,6 +187,21 @@ def test_dictionary_is_the_corpus_own(spark):
     assert secret_scan.train(few, [], trees=2, most=50).numClasses == 2
 
 
+def test_assigned_values_of_any_length(spark, forest):
+    """Short passwords, with letters only or broken up by other marks, reach the forest; plain words beside them are dropped."""
+    secrets = ["hunter2x9", "Tr0ub4dor&3", "qzkwvxj", "p@55", "AbcdefGh1234567890!x", "S3cr.t-99"]
+    others = ["null", "required", "name", "config.value", "the"]
+    forms = ['db password = "{}" end', "set pwd: {}\nnext", "DB_PASSWORD={} next", "{{'auth_secret': '{}'}}"]
+    rows = [(k, f.format(v), v, v in secrets) for k, (v, f) in enumerate((v, f) for v in secrets + others for f in forms)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value string, label boolean").withColumn("path", F.lit("src/a.py"))
+    got = secret_scan.scan(docs, forest).join(docs.select("doc_id", "value", "label"), "doc_id").filter("candidate = value").collect()
+    assert len(got) == len(rows)
+    hit, of = sum(r.secret for r in got if r.label), sum(r.label for r in got)
+    false = sum(r.secret for r in got if not r.label)
+    print("assigned values: found", hit, "of", of, "false", false, "of", len(got) - of)
+    assert hit > 0.8 * of and false < 0.2 * (len(got) - of), [(r.value, r.probability) for r in got if r.secret != r.label]
+
+
 def test_scan_places_and_odd_rows(spark, forest):
     key = hashlib.sha1(b"k").hexdigest()
     text = f'é token = "{key}" and 4111111111111111 then\nreadTheFileNameFromUserList end token = "{key}"'
