@@ -85,10 +85,11 @@ def group_lookup(rows: DataFrame, keys: list[str], salt: str, *aggs: Column) ->
     """Each row with its group's aggregates, no task holding a whole group.
 
     The aggregates combine on the map side; a group's summary is repeated once for each salt its rows have, and rows
-    meet it on (keys, salt). Null keys form no group and must be replaced before.
+    meet it on (keys, salt). The summaries are dealt by that key before the join, so that, where few rows are broadcast to
+    them instead, no task puts out a whole group. Null keys form no group and must be replaced before.
     """
     per_group = rows.groupBy(*keys).agg(*aggs, F.collect_set(salt).alias("_salts"))
-    spread = per_group.withColumn(salt, F.explode("_salts")).drop("_salts")
+    spread = per_group.withColumn(salt, F.explode("_salts")).drop("_salts").repartition(*keys, salt)
     return rows.join(spread, [*keys, salt])
 
 
