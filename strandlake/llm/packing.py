@@ -34,7 +34,8 @@ from strandlake.llm.text import Hasher, bpe_pieces, chunks, code_points, give_ba
 #: Pieces differenced at a time.
 GROUP_PIECES = 8192
 #: Slots of an encoder's piece table, and ids that it keeps before starting anew.
-SLOTS, POOL = 1 << 19, 3_000_000
+SLOT_BITS = 21
+SLOTS, POOL = 1 << SLOT_BITS, 3_000_000
 
 
 class Encoder:
@@ -80,7 +81,7 @@ class Encoder:
         codes, firsts = code_points(texts)
         starts, ends = bpe_pieces(codes)
         keys = self.hasher.slices(codes, starts, ends)
-        slot = (keys >> np.uint64(45)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at, length = self.at[slot], self.length[slot]
         missed = np.flatnonzero(self.keys[slot] != keys)
         if len(missed):
@@ -89,7 +90,7 @@ class Encoder:
             text = codes.tobytes()
             new_at, new_length = self._learn([text[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
             at[missed], length[missed] = new_at[back], new_length[back]
-            put = (new >> np.uint64(45)).astype(np.int64)
+            put = (new >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             self.keys[put], self.at[put], self.length[put] = new, new_at, new_length
         ends_at = np.cumsum(length, dtype=np.int64)
         total = int(ends_at[-1]) if len(ends_at) else 0
