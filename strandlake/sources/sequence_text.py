@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.render import fasta, fastq
@@ -58,12 +62,39 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract(head, r"^\S*", 0).alias("id"), body.alias("read"))
 
 
+def _fours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of four consecutive lines; what a batch leaves over goes with the next."""
+    rest = None
+    for batch in batches:
+        lines = batch.column(0) if rest is None else pa.concat_arrays([rest, batch.column(0)])
+        n = len(lines) // 4 * 4
+        rest = lines.slice(n)
+        yield pa.RecordBatch.from_arrays([lines.take(pa.array(np.arange(k, n, 4))) for k in (0, 1, 3)], names=["head", "read", "qvalue"])
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(id, read, qvalue) from four-line records. Quality lines may begin like headers, so a file is read as one."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l")).filter("l[0] <> ''")
-    records = F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda k: F.slice("l", k * 4 + 1, 4))
-    r = lines.filter(F.size("l") >= 4).select(F.explode(records).alias("r"))
-    return r.select(F.regexp_extract(F.col("r")[0], r"^@(\S*)", 1).alias("id"), F.col("r")[1].alias("read"), F.col("r")[3].alias("qvalue"))
+    """(id, read, qvalue) from four-line records; lines over at a file's end are none, nor are those of a file that begins with an empty line.
+
+    Quality lines may begin like headers, so lines are counted. Large files split: the lines before each split, one
+    broadcast row a split, give its lines their numbers in the file. Records within a split are read where they are; only
+    the few lines of records that lie across splits shuffle.
+    """
+    value = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    scan = spark.read.text(path, lineSep="\n")
+    scan = scan.select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    # planned once: a scan planned anew may split otherwise when executors have come or gone
+    lines = DataFrame(spark._jsparkSession.internalCreateDataFrame(scan._jdf.queryExecution().toRdd(), scan._jdf.schema(), False), spark)
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min_by(F.col("value") == "", "at").alias("empty"))
+    earlier = Window.partitionBy("file").orderBy("start")
+    splits = splits.withColumns({"low": F.sum("n").over(earlier) - F.col("n"), "empty": F.first("empty").over(earlier)}).filter("NOT empty")
+    own = lines.join(F.broadcast(splits.select("file", "start", "n", "first", "low")), ["file", "start"])
+    line = F.col("at") - F.col("first") + F.col("low")
+    record = F.shiftright(line, 2)
+    within = (record * 4 >= F.col("low")) & (record * 4 + 4 <= F.col("low") + F.col("n"))
+    whole = own.filter(within).select("value").mapInArrow(_fours, "head string, read string, qvalue string")
+    cut = own.filter(~within).groupBy("file", record.alias("record")).agg(F.sort_array(F.collect_list(F.struct(line.alias("line"), "value")))["value"].alias("l")).filter("size(l) = 4")
+    cut = cut.select(F.col("l")[0].alias("head"), F.col("l")[1].alias("read"), F.col("l")[3].alias("qvalue"))
+    return whole.unionAll(cut).select(F.regexp_extract("head", r"^@(\S*)", 1).alias("id"), "read", "qvalue")
 
 
 def contig_fasta(contigs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strandlake.operators import joins, tools
@@ -76,6 +77,27 @@ def test_fasta_and_fastq_files(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("r1", "ACG", "@II"), ("r2", "T", "I")]
 
 
+def test_fastq_file_in_many_splits(spark, tmp_path):
+    want = [(f"r{k}", "ACGT" * (k % 7), "@I+@" * (k % 7)) for k in range(200)]
+    text = "".join(f"@{i} x\n{r}\n+\n{q}\n" for i, r, q in want)
+    (tmp_path / "a.fastq").write_text(text + "@over\nAC\n+\n")
+    (tmp_path / "b.fastq").write_bytes(text.replace("\n", "\r\n").encode())
+    (tmp_path / "c.fastq").write_text("@none\n\n+\n\n")
+    (tmp_path / "d.fastq").write_text("")
+    (tmp_path / "e.fastq").write_text("\n@x\nA\n+\nI\n")
+    confs = {"spark.sql.files.maxPartitionBytes": "900", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = sequence_text.read_fastq(spark, str(tmp_path / "*.fastq")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["id"], r["read"], r["qvalue"]) for r in got) == sorted(want + want + [("none", "", "")])
+    assert len({r["task"] for r in got}) > 10  # no task reads a file
+
+
 def test_text_sink_and_renderers(spark, tmp_path):
     data = fixtures.assembly(spark)
     records.write_text(sequence_text.contig_fasta(data["nodes"]), str(tmp_path / "contigs"))
