@@ -41,6 +41,8 @@ from strandlake.llm.text import EDGE, SPACE, Hasher, char_class, chunks, code_po
 
 #: Hash functions at most; members and n-grams of a block.
 HASHES, BLOCK_MEMBERS, BLOCK_GRAMS = 128, 256, 1 << 18
+#: Characters of texts that are made into full sets at a time, and the last text's.
+HELD_CHARACTERS = 1 << 22
 
 
 def bands_for(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
@@ -137,28 +139,49 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def _full_sets(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(_set, _all, _bands, _hot) of (_text, _hot), whose texts have n-grams."""
+    """(_set, _all, _bands) of (_text), whose texts have n-grams; texts are gathered, as the batches may be of few rows."""
+
+    def work(found: list[str]) -> Iterator[pa.RecordBatch]:
+        for a, b in chunks(found):
+            grams, at = gram_sets(found[a:b], n)
+            signed = signatures(grams, at, bands, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, at), pa.binary()), _lists(grams, at), _lists(signed.ravel(), np.arange(b - a + 1) * bands)], names=["_set", "_all", "_bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = 0
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                found = batch.column(0).slice(low, 512).to_pylist()
-                for a, b in chunks(found):
-                    grams, at = gram_sets(found[a:b], n)
-                    signed = signatures(grams, at, bands, rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, at), pa.binary()), _lists(grams, at), _lists(signed.ravel(), np.arange(b - a + 1) * bands), batch.column(1).slice(low + a, b - a)], names=["_set", "_all", "_bands", "_hot"])
+            for text in batch.column(0).to_pylist():
+                held.append(text)
+                size += len(text)
+                if len(held) == 512 or size >= HELD_CHARACTERS:
+                    yield from work(held)
+                    held, size = [], 0
+        if held:
+            yield from work(held)
         give_back()
 
-    return texts.mapInArrow(run, "_set binary, _all array<long>, _bands array<long>, _hot boolean")
+    return texts.mapInArrow(run, "_set binary, _all array<long>, _bands array<long>")
 
 
 class _Members:
-    """One block as arrays."""
+    """One block as arrays. A member is one item, or two: one of its place alone, one of its full set alone.
+
+    Full sets of no member came through the filter by chance and are left out.
+    """
 
     def __init__(self, items: pa.StructArray) -> None:
         self.keys = items.field("_set").to_pylist()
-        self.copies = items.field("_copies").to_numpy()
-        self.near = items.field("_near").to_numpy()
+        full, placed = items.field("_all").is_valid(), items.field("_copies").is_valid()
+        self.copies, self.near = items.field("_copies").fill_null(0).to_numpy(), items.field("_near").fill_null(0).to_numpy()
+        if full.false_count or placed.false_count:
+            place = {self.keys[k]: k for k in np.flatnonzero(placed.to_numpy(zero_copy_only=False)).tolist()}
+            some = [k for k in np.flatnonzero(full.to_numpy(zero_copy_only=False)).tolist() if self.keys[k] in place]
+            if len(some) != len(place):
+                raise ValueError(f"{len(some)} full sets for {len(place)} members of a bucket")
+            at = np.array([place[self.keys[k]] for k in some], dtype=np.int64)
+            self.keys, self.copies, self.near = [self.keys[k] for k in some], self.copies[at], self.near[at]
+            items = items.take(pa.array(some, pa.int64()))
         bands, grams = items.field("_bands"), items.field("_all")
         self.bands = bands.flatten().to_numpy().reshape(len(self.keys), -1)
         self.grams, self.at = grams.flatten().to_numpy(), grams.offsets.to_numpy() - grams.offsets[0].as_py()
@@ -294,17 +317,21 @@ def _classed(wide: DataFrame, file: str, at: str, doc_id: str, text: str, n: int
 
     # full sets of the representatives that met anyone, from their texts, which are found by place and do not shuffle
     large = F.col("_blocks") > 1
-    near = marked(own_texts, "_file", "_at", marks(met, "_file", "_at", F.lit(True), large), total, 2, "_busy").filter("_busy > 0")
-    sets = stash(_full_sets(near.select("_text", (F.col("_busy") > 1).alias("_hot")), n, bands, rows), "sets")
-    hot_sets = sets.filter("_hot")
+    near = marked(own_texts, "_file", "_at", marks(met, "_file", "_at", F.lit(True), large), total, 2, "_busy")
+    hot_sets = stash(_full_sets(near.filter("_busy > 1").select("_text"), n, bands, rows), "sets")
 
     close = stash(_close(met.filter(large), hot_sets, threshold), "close")
     known_links = _close_links(close)
     near_to = close.select("_set", "_home", F.xxhash64("_home").alias("_near"))
     placed = stash(met.select("_band", "_hash", "_blocks", "_set", "_grams", "_copies").join(near_to, "_set", "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("long"))), "placed")
     item = F.struct("_set", "_copies", "_bands", "_all", "_near")
-    alone = placed.filter("_blocks = 1").select("_band", "_hash", "_set", "_copies", "_near").join(sets.select("_set", "_bands", "_all"), "_set")
-    alone = alone.groupBy("_band", "_hash").agg(F.collect_list(item).alias("_items"))
+    # a set in small buckets only goes from its text straight to them: its bands say where, and a filter which of them are left
+    alone = placed.filter("_blocks = 1").select("_band", "_hash", "_set", "_copies", "_near")
+    few = buckets.filter("_blocks = 1")
+    cold = _full_sets(near.filter("_busy = 1").select("_text"), n, bands, rows).select("_set", F.posexplode("_bands").alias("_band", "_hash"), "_bands", "_all")
+    cold = may_hold(cold, ["_band", "_hash"], few, 4 * few.count())
+    full = cold.unionByName(alone.select("_band", "_hash", "_set").join(hot_sets, "_set"))
+    alone = alone.unionByName(full, allowMissingColumns=True).groupBy("_band", "_hash").agg(F.collect_list(item).alias("_items"), F.count("_copies").alias("_n")).filter("_n > 0")
     alone = alone.select(F.col("_band").cast("long"), "_items", F.lit(None).cast(alone.schema["_items"].dataType).alias("_other"), F.lit(True).alias("_same"))
     # large buckets: blocks by what their members are close to; blocks close to the same set are not compared
     hot = placed.filter("_blocks > 1")
@@ -328,7 +355,7 @@ def _classed(wide: DataFrame, file: str, at: str, doc_id: str, text: str, n: int
     both = left.join(right, ["_band", "_hash", "_j"]).select(F.col("_band").cast("long"), "_items", "_other", (F.col("_i") == F.col("_j")).alias("_same"))
     with batches_of(spark, 16):  # of pairs of blocks
         found = stash(_compare(alone.unionAll(both), threshold).unionAll(known_links), "found")
-    release(buckets, maybe, met, sets, close, placed, parts, pairs, many)
+    release(buckets, maybe, met, hot_sets, close, placed, parts, pairs, many)
 
     classes = components(found.filter("b IS NOT NULL"))
     # a set that many blocks were compared with has a row for each of them: added up over salted keys first

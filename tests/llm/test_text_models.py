@@ -133,6 +133,17 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, rows):
     assert kept == {i for i, c, _ in brute_links(rows) if i == c and i is not None} | ({None} if any(i is None for i, _ in rows) else set())
 
 
+def test_ngram_join_ships_full_sets_once(spark, monkeypatch):
+    written, stash = {}, ngram_join.stash
+    monkeypatch.setattr(ngram_join, "stash", lambda df, name: written.setdefault(name, stash(df, name)))
+    monkeypatch.setattr(ngram_join, "may_hold", lambda rows, *_: rows)  # a filter that lets all pass
+    monkeypatch.setattr(ngram_join, "release", lambda *_: None)
+    monkeypatch.setattr(ngram_join, "HELD_CHARACTERS", 2000)
+    rows = ODD + near_rows(4, 30, 8)
+    assert sorted((tuple(r) for r in ngram_join.join(frame(spark, rows)).collect()), key=str) == brute_links(rows)
+    assert written["members"].count() > 0 and written["sets"].count() == 0  # those of small buckets are not written or joined before
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0 and ngram_join.join(frame(spark, [(1, "a b c d e f")])).collect()[0].n_links == 0
 
